@@ -44,7 +44,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
         coder = bpe.encoder(vocabulary)
         part, row, at = TaskContext.get().partitionId(), 0, {}
         for batch in batches:
-            for piece in slices(batch, "text"):
+            for piece in slices(batch, "text", bpe.SLICE_BYTES):
                 ids, offsets = coder.encode(piece.column("text"), end)
                 n = piece.num_rows
                 queues, sizes = piece.column("queue").to_pylist(), np.diff(offsets)

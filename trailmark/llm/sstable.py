@@ -212,7 +212,7 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
         width = np.dtype(coder.dtype).itemsize
         out, name, ends = None, "", [None, None]
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", bpe.SLICE_BYTES):
                 if out is None:
                     name = f"{TaskContext.get().partitionId():06d}-{uuid.uuid4().hex}.sst"
                     target, at = _open(path)
