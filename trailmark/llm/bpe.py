@@ -10,14 +10,16 @@ encoded whole, since a run of white space is one unit there.
 
 from __future__ import annotations
 
+import json
 import zlib
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most pieces kept per worker; beyond it those used least are dropped.
-MEMO_PIECES = 400_000
+MEMO_PIECES = 500_000
 #: Bytes of text encoded at once: each distinct piece among them is looked up once.
 SLICE_BYTES = 1 << 22
 _RUN = r"[\s\pZ\x{85}\x{1c}-\x{1f}][\s\pZ\x{85}\x{1c}-\x{1f}] "
@@ -29,6 +31,18 @@ def vocabulary_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+def _uncached(model: dict):
+    """The library's BPE model without its own cache, which new pieces only slow down;
+    None for a model of another kind."""
+    from tokenizers import models
+
+    if model["type"] != "BPE":
+        return None
+    merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+    options = {k: model[k] for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges") if model.get(k) not in (None, "")}
+    return models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0, **options)
+
+
 class Encoder:
     """Encodes Arrow string arrays to a flat id array and offsets.
 
@@ -40,6 +54,8 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        with open(path, encoding="utf-8") as source:
+            self.tokenizer.model = _uncached(json.load(source)["model"]) or self.tokenizer.model
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.blank = np.zeros(max(vocab.values()) + 1, bool)
@@ -87,11 +103,13 @@ class Encoder:
 
     def _codes(self, keys: list[str]) -> np.ndarray:
         get = self.memo.get
-        codes = [get(k, -1) for k in keys]
-        if new := [k for k, c in zip(keys, codes, strict=True) if c < 0]:
-            self._learn(new)
-            codes = [get(k) for k in keys]
-        return np.array(codes, np.int64)
+        codes = np.fromiter(map(get, keys, repeat(-1)), np.int64, len(keys))
+        new = np.flatnonzero(codes < 0)
+        if len(new):
+            unknown = [keys[i] for i in new.tolist()]
+            self._learn(unknown)
+            codes[new] = np.fromiter(map(get, unknown), np.int64, len(new))
+        return codes
 
     def encode(self, arr: pa.Array, end: int | None = None) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ``ids[offsets[i]:offsets[i+1]]``; null is empty."""
