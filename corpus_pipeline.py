@@ -1,8 +1,52 @@
-"""Corpus pipeline (stages are added below as the operators land)."""
+"""Corpus pipeline: quality classifier, quality rules, near-dedup, packing.
 
+Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
+again as the next stage's ``docs``.  All but the last return the columns of
+``documents``; the last returns the pieces of the packed sequences.  Models are
+fitted on the labelled documents of ``sf_dir``, not on what a stage before kept.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from trailmark.llm import near_dedup, packing, quality_gam, quality_rules, storage
+
+#: SQL can express neither the models nor the sampled sketches.
 ORACLE_SQL = None
-STAGES = []
 
 
-def run(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the additive model accepts (a score of 0.5 or more)."""
+    return docs.where(quality_gam.accepted(F.col("text"), quality_gam.train(spark, sf_dir)))
+
+
+def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and the boosted trees."""
+    return docs.where(quality_rules.kept(F.col("text"), quality_rules.train(spark, sf_dir)))
+
+
+def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each class of near copies."""
+    return near_dedup.keep_one(docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of sequences of at most 1024 tokens at the sources' proportions."""
+    return packing.pack(docs, with_ids=False).drop("source")
+
+
+STAGES = [
+    ("quality_classifier", quality_classifier),
+    ("quality_rules", quality_rules_stage),
+    ("near_dedup", near_dedup_stage),
+    ("packing", packing_stage),
+]
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = storage.materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

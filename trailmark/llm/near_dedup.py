@@ -324,7 +324,8 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, md5 (of the text) and class_id (the least doc_id of the class) of each row.
+    """doc_id, md5 (of the text), class_id and class_md5 of each row: a class is named
+    by its least (doc_id, md5).
 
     Null text is empty; texts without words are all copies of each other; texts of one
     to four words are near only if their words are the same; repeated rows are in one
@@ -336,10 +337,31 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = storage.materialize(signed.groupBy("node").agg(F.min(F.struct("doc_id", "md5", "bands")).alias("s")).select("node", "s.doc_id", "s.md5", "s.bands"), "nodes")
     units = storage.materialize(candidate_units(nodes), "units")
     roots = components(links(plain, units, idf, threshold))
-    by_node = nodes.select("node", "doc_id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    least = by_node.groupBy("root").agg(F.min("doc_id").alias("class_id"))
-    of_node = by_node.join(least, "root").select("node", "class_id")
-    return signed.select("doc_id", "md5", "node").join(of_node, "node").select("doc_id", "md5", "class_id")
+    by_node = nodes.select("node", "doc_id", "md5").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    least = by_node.groupBy("root").agg(F.min(F.struct("doc_id", "md5")).alias("first"))
+    of_node = by_node.join(least, "root").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.md5").alias("class_md5"))
+    return signed.select("doc_id", "md5", "node").join(of_node, "node").select("doc_id", "md5", "class_id", "class_md5")
+
+
+def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """``docs`` with one row of each class, its least (doc_id, md5); all columns stay."""
+    found = storage.materialize(classes(docs, threshold), "classes")
+    first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("md5") == F.col("class_md5"))
+    text = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
+    is_row = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["key_id"]) & (text == k["key_md5"])
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        rows = rows.select(F.col("doc_id").alias("key_id"), F.col("md5").alias("key_md5"))
+        return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
+
+    gone = keyed(found.where(~first).select("doc_id", "md5").distinct())
+    kept = docs.join(gone, is_row(gone), "left_anti")
+    again = found.where(first).groupBy("doc_id", "md5").count().where("count > 1")
+    if again.isEmpty():
+        return kept
+    again = keyed(again)  # rows that are there more than once
+    once = docs.join(again, is_row(again), "inner").dropDuplicates(["key_id", "key_md5"]).drop("key_id", "key_md5")
+    return kept.join(again, is_row(again), "left_anti").unionByName(once)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
