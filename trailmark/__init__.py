@@ -1,0 +1 @@
+"""Analytics of agent execution traces and their cost ledgers on Spark."""
