@@ -1,11 +1,12 @@
 """Mixture-controlled packing by deficit round-robin over source queues.
 
 Every source is a queue of tokens (its documents one after the other).  The output
-is cut into segments; segment ``j`` takes of queue ``q`` the tokens from
-``floor(rate_q * j)`` to ``floor(rate_q * (j + 1))``, where the rates of all queues
-add up to ``segment_tokens`` in the target proportions.  What a queue is owed at a
-segment's border, ``rate_q * j - floor(rate_q * j)``, is its carried deficit, known
-in closed form, so segments are packed independently.  Inside a segment every window
+is cut into segments; segment ``j`` takes of queue ``q`` the tokens from ``b_q(j)`` to
+``b_q(j + 1)``, where ``b_q(j)`` is ``rate_q * j`` rounded down to a multiple of
+``min_serve``, and the rates of all queues add up to a segment in the target
+proportions; a queue's last segment takes its rest.  What a queue is owed at a
+segment's border, ``rate_q * j - b_q(j)``, is its carried deficit, known in closed
+form, so segments are packed independently.  Inside a segment every window
 (a sequence) adds its share of the window to each queue's deficit and serves queues
 in turn as far as their deficits go, in turns of ``min_serve`` tokens at least; what
 a queue is owed, or has had beyond its share, goes to the next window.
@@ -86,7 +87,8 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabu
     share = np.array([(weights or {}).get(s, totals[s] / grand) for s in names], float)
     segment = sequence_tokens * segment_sequences
     rates = np.maximum(share / (share.sum() or 1) * segment, 1e-3)
-    ids_per_segment = segment_sequences + 2 + len(names) // sequence_tokens
+    last = np.maximum(np.ceil(np.array([totals[s] for s in names]) / rates).astype(np.int64) - 1, 0)
+    ids_per_segment = segment_sequences + 2 + -(-2 * len(names) * min_serve // sequence_tokens)
 
     known = [x for s in names if s is not None for x in (F.lit(s), F.lit(number[s]))]
     code = F.create_map(*known)[F.col("queue")] if known else F.lit(None)
@@ -99,7 +101,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabu
 
     def place(batches):
         for batch in batches:
-            yield from _place(batch, rates)
+            yield from _place(batch, rates, last, min_serve)
 
     kind = "segment long, queue int, at long, doc_id long, start long, n long, doc_tokens long, width int, source string, ids binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -107,40 +109,43 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabu
 
     def fill(batches):
         for j, rows in _segments(batches):
-            yield from _fill(j, rows, rates, sequence_tokens, min_serve, ids_per_segment, with_ids)
+            yield from _fill(j, rows, rates, last, sequence_tokens, min_serve, ids_per_segment, with_ids)
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
     return dealt.mapInArrow(fill, out)
 
 
-def _segment_of(at: np.ndarray, rate: np.ndarray) -> np.ndarray:
-    """The segment that holds the token ``at`` of a queue."""
-    j = np.floor(at / rate).astype(np.int64)
-    j += np.floor(rate * (j + 1)) <= at
-    j += np.floor(rate * (j + 1)) <= at
-    j -= np.floor(rate * j) > at
-    return j
+def _border(j: np.ndarray, rate: np.ndarray, step: int) -> np.ndarray:
+    """Tokens that a queue has given before segment ``j``, short of its last one."""
+    return np.floor(rate * j / step).astype(np.int64) * step
 
 
-def _place(batch: pa.RecordBatch, rates: np.ndarray) -> Iterator[pa.RecordBatch]:
+def _segment_of(at: np.ndarray, rate: np.ndarray, last: np.ndarray, step: int) -> np.ndarray:
+    """The segment that takes the token ``at`` of a queue."""
+    j = np.ceil((at // step + 1) * step / rate).astype(np.int64) - 1
+    j -= _border(j, rate, step) > at  # rounding of the division
+    j += _border(j + 1, rate, step) <= at
+    return np.minimum(j, last)
+
+
+def _place(batch: pa.RecordBatch, rates: np.ndarray, lasts: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
     """Cut documents where segments end."""
     col = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
     queue, n, width = col("queue"), col("n"), col("width")
     at = col("base") + col("start")
-    rate = rates[queue]
-    first, last = _segment_of(at, rate), _segment_of(at + n - 1, rate)
+    rate, end = rates[queue], lasts[queue]
+    first, last = _segment_of(at, rate, end, step), _segment_of(at + n - 1, rate, end, step)
     cut = np.flatnonzero(first != last)
     row, lo, hi, seg = [np.flatnonzero(first == last)], [], [], []
     lo.append(np.zeros(len(row[0]), np.int64))
     hi.append(n[row[0]])
     seg.append(first[row[0]])
     for i in cut:
-        j = np.arange(first[i], last[i] + 1)
-        ends = np.minimum(np.floor(rate[i] * (j + 1)).astype(np.int64), at[i] + n[i]) - at[i]
-        starts = np.concatenate([[0], ends[:-1]])
-        keep = ends > starts
-        for to, x in ((row, np.full(len(j), i)), (lo, starts), (hi, ends), (seg, j)):
-            to.append(x[keep])
+        chunk = np.unique(np.concatenate([at[i : i + 1], np.arange(-(-at[i] // step), -(-(at[i] + n[i]) // step)) * step]))  # a segment begins at a multiple of the step
+        j, begin = np.unique(_segment_of(chunk, np.full(len(chunk), rate[i]), end[i], step), return_index=True)
+        starts = chunk[begin] - at[i]
+        for to, x in ((row, np.full(len(j), i)), (lo, starts), (hi, np.append(starts[1:], n[i])), (seg, j)):
+            to.append(x)
     row, lo, hi, seg = (np.concatenate(x) for x in (row, lo, hi, seg))
     data = batch.column("ids").cast(pa.large_binary())
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
@@ -208,13 +213,13 @@ def schedule(sizes: np.ndarray, owed: np.ndarray, window: int, min_serve: int) -
     return tuple(np.array([x[i] for x in out], np.int64) for i in range(3))
 
 
-def _fill(j: int, rows: pa.Table, rates: np.ndarray, window: int, min_serve: int, per_segment: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
+def _fill(j: int, rows: pa.Table, rates: np.ndarray, lasts: np.ndarray, window: int, min_serve: int, per_segment: int, with_ids: bool) -> Iterator[pa.RecordBatch]:
     rows = rows.combine_chunks()
     col = lambda c: rows.column(c).to_numpy()
     queue, n, start, width = col("queue"), col("n"), col("start"), col("width")
     names, local = np.unique(queue, return_inverse=True)
     sizes = np.bincount(local, n, len(names)).astype(np.int64)
-    owed = rates[names] * j - np.floor(rates[names] * j)
+    owed = np.where(j <= lasts[names], rates[names] * j - _border(j, rates[names], min_serve), 0.0)
     q, give, w = schedule(sizes, owed, window, min_serve)
     # Positions count through the segment's queues, one after the other.
     base = np.cumsum(sizes) - sizes
