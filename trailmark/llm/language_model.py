@@ -264,8 +264,6 @@ def _class_scores(weights: np.ndarray, keys: np.ndarray, classes: np.ndarray, of
         local = np.unique(np.clip(np.append(offsets[first : np.searchsorted(offsets, b) + 1], b), lo, b)) - lo
         local = np.concatenate([[0], local]) if local[0] else local
         rows = features(keys[lo:b], classes[lo:b], local, np.arange(a - lo, b - lo))
-        if lo and lo not in start:  # the window's first text began earlier
-            pass
         z = _logits(weights, rows)
         z -= z.max(1, keepdims=True)
         picked = z[np.arange(b - a), classes[a:b]]
