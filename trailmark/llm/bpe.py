@@ -19,9 +19,9 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Most pieces kept per worker; beyond it those used least are dropped.
-MEMO_PIECES = 500_000
+MEMO_PIECES = 450_000
 #: Bytes of text encoded at once: each distinct piece among them is looked up once.
-SLICE_BYTES = 1 << 22
+SLICE_BYTES = 1 << 21
 _RUN = r"[\s\pZ\x{85}\x{1c}-\x{1f}][\s\pZ\x{85}\x{1c}-\x{1f}] "
 
 
