@@ -6,7 +6,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from trailmark.functions import columns as C
-from trailmark.operators import ledger, messages, sequence, statistics
+from trailmark.operators import ledger, messages, sequence, statistics, studies
 from trailmark.streaming import trial
 
 GOLDEN = [
@@ -174,3 +174,32 @@ def test_stream_restarts_and_equals_its_batch_twin(spark, tmp_path):
         assert sorted(r["slot"] for r in got if r["stratum"] == s) == list(range(sum(r["stratum"] == s for r in got)))
     arms = {(r["stratum"], r["slot"]): r["assignment"] for r in plan.collect()}
     assert all(arms[r["stratum"], r["slot"]] == r["assignment"] for r in got)
+
+
+def test_ridge_leaves_each_group_out(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(120, 2)) * [1, 5] + 3
+    g = rng.integers(0, 5, 120)
+    y = x @ [1.0, 0.5] + rng.normal(size=120)
+    df = spark.createDataFrame([Row(u=i, g=int(k), y=float(v), a=float(p), b=float(q)) for i, (k, v, (p, q)) in enumerate(zip(g, y, x, strict=True))])
+    got = {r["u"]: r["predicted"] for r in studies.out_of_fold_ridge(df, "g", "u", "y", ["a", "b"]).collect()}
+    for k in range(5):
+        tr, te = x[g != k], x[g == k]
+        mu, sd = tr.mean(0), tr.std(0)
+        z = (tr - mu) / sd
+        beta = np.linalg.solve(z.T @ z + 10 * np.eye(2), z.T @ (y[g != k] - y[g != k].mean()))
+        want = y[g != k].mean() + (te - mu) / sd @ beta
+        assert [got[i] for i in np.flatnonzero(g == k)] == pytest.approx(list(want))
+
+
+def test_names_cluster_by_first_member(spark):
+    rows = [("f", i, n, d, c) for i, (n, d, c) in enumerate([("repeat_file_read", "reads again", "x"), ("file_read_repeat", "", "y"), ("patch_churn", "edits", "x"), ("churn_of_patch", "edits", "z"), (None, None, "x")])]
+    got = [r["cluster"] for r in studies.cluster_names(spark.createDataFrame(rows, "family string, position long, name string, definition string, coder string")).orderBy("position").collect()]
+    assert got == [0, 0, 1, 1, 2]
+
+
+def test_scrub_and_selector(spark):
+    df = spark.createDataFrame([("/home/me/x /data/users/you/y", 0.6, None, False), ("", None, 0.45, True), ("", None, 0.1, True), ("", None, None, False)], "t string, s double, c double, u boolean")
+    rows = df.select(studies.scrub(F.col("t")).alias("t"), studies.select_config(F.col("s"), F.col("c"), F.col("u")).alias("k")).collect()
+    assert rows[0]["t"] == "/home/USER/x /data/USER/y"
+    assert [r["k"] for r in rows] == ["SEARCH_CONSTRAINED", "PATCH_GUARD", "VERIFY_HEAVY", "DEFAULT"]

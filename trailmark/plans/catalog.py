@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators import agreement, ledger, messages, sequence, statistics
+from ..operators import agreement, ledger, messages, sequence, statistics, studies
 from ..sources import tables
 
 QUERY = Callable[[SparkSession, str], DataFrame]
@@ -144,10 +144,10 @@ def _(spark, d):
 SCHEMES = {"cached": (1.0, 0.1, 1.25, 5.0), "uncached": (1.0, 1.0, 1.0, 5.0), "flat": (1.0, 1.0, 1.0, 1.0), "free_read": (1.0, 0.0, 1.25, 5.0), "output_heavy": (1.0, 0.1, 1.25, 8.0)}
 
 
-@query("reprice_schemes", L + ", s(scheme, a, b, c, e) AS (VALUES " + ", ".join(f"('{n}', {', '.join(map(str, w))})" for n, w in SCHEMES.items()) + ") SELECT method, scheme, round(sum(a * input_tokens + b * cache_read_tokens + c * cache_creation_tokens + e * output_tokens), 2) AS cost FROM l, s GROUP BY 1, 2")
+@query("reprice_schemes", L + ", s(scheme, a, b, c, e) AS (VALUES " + ", ".join(f"('{n}', {', '.join(map(str, w))})" for n, w in SCHEMES.items()) + ") SELECT method, scheme, round(sum(a * input_tokens + b * cache_read_tokens + c * cache_creation_tokens + e * output_tokens), 4) AS cost FROM l, s GROUP BY 1, 2")
 def _(spark, d):
     """Totals under five price vectors."""
-    return ledger.reprice(tables.ledger(spark, d), SCHEMES).withColumn("cost", F.round("cost", 2))
+    return ledger.reprice(tables.ledger(spark, d), SCHEMES)
 
 
 @query("cost_decomposition", L + "SELECT method, round(sum(input_tokens) / sum(cost), 4) AS input_share, round(0.1 * sum(cache_read_tokens) / sum(cost), 4) AS cache_read_share, round(1.25 * sum(cache_creation_tokens) / sum(cost), 4) AS cache_creation_share, round(5 * sum(output_tokens) / sum(cost), 4) AS output_share FROM l GROUP BY 1")
@@ -625,6 +625,90 @@ def _(spark, d):
     return statistics.ols(t, "y", ["a", "moderator", "ax"], "cluster")
 
 
+# --- studies ---------------------------------------------------------------------------
+_GRID = (5000.0, 20000.0, 50000.0, 100000.0)
+
+
+@query("loro_threshold", L + ", q AS (SELECT *, task_id % 11 AS grp FROM p WHERE method = 'A'), c AS (SELECT grp, t.t, sum(CASE WHEN base >= t.t THEN cost ELSE base END) AS c, sum(base) AS keep, sum(cost) AS alw FROM q, (VALUES (5000.0), (20000.0), (50000.0), (100000.0)) t(t) GROUP BY 1, 2), r AS (SELECT *, sum(c) OVER (PARTITION BY t) - c AS rest FROM c), k AS (SELECT *, row_number() OVER (PARTITION BY grp ORDER BY rest, t) AS rn FROM r) SELECT grp, t::DOUBLE AS threshold, round(c, 4) AS policy, round(keep, 4) AS keep, round(alw, 4) AS always FROM k WHERE rn = 1")
+def _(spark, d):
+    """Threshold chosen on the other groups."""
+    pairs = _pairs(spark, d).where("method = 'A'").withColumn("grp", F.col("task_id") % 11)
+    return studies.held_out_threshold(pairs, "grp", "base", _GRID)
+
+
+@query("feasible_oracle", L + ", b AS (SELECT task_id, arg_min(method, cost) AS method, min(cost) AS cost FROM t WHERE changed_calls > 0 GROUP BY 1) SELECT n.task_id, round(n.cost, 4) AS base, CASE WHEN b.cost < 0.95 * n.cost THEN b.method ELSE 'N' END AS method, round(CASE WHEN b.cost < 0.95 * n.cost THEN b.cost ELSE n.cost END, 4) AS cost FROM t n JOIN b USING (task_id) WHERE n.method = 'N'")
+def _(spark, d):
+    """Cheapest feasible method under a tolerance."""
+    costs = ledger.task_cost(tables.with_cost(tables.ledger(spark, d)))
+    return studies.feasible_oracle(costs, F.col("changed_calls") > 0, 0.05)
+
+
+@query("risk_selector", E + ", f AS (SELECT trace_id, count(*) AS n, count(*) FILTER (etype = 'SEARCH') / count(*) AS s, count(*) FILTER (etype = 'EDIT') / count(*) AS c, count(*) FILTER (etype = 'TEST') = 0 AS u FROM e GROUP BY 1) SELECT trace_id, CASE WHEN s >= 0.35 THEN 'SEARCH_CONSTRAINED' WHEN c >= 0.3 THEN 'PATCH_GUARD' WHEN u THEN 'VERIFY_HEAVY' ELSE 'DEFAULT' END AS config FROM f")
+def _(spark, d):
+    """Configuration by thresholds of a risk level."""
+    f = sequence.trace_features(tables.events(spark, d))
+    return f.select("trace_id", studies.select_config(F.col("searches") / F.col("n_events"), F.col("edits") / F.col("n_events"), F.col("tests") == 0, "HIGH").alias("config"))
+
+
+@query("calibration_bins", G + ", b AS (SELECT ntile(3) OVER (ORDER BY moderator, task_id) AS bin, moderator, y FROM g) SELECT bin::BIGINT AS bin, round(avg(moderator), 4) AS predicted, round(avg(y), 4) AS actual, count(*)::BIGINT AS n FROM b GROUP BY 1")
+def _(spark, d):
+    """Outcome by thirds of the prediction."""
+    return studies.calibration(tables.trial(spark, d), "moderator", "y", "unit")
+
+
+@query("coverage_curve", G + "SELECT t.t::DOUBLE AS cut, round(count(*) FILTER (moderator >= t.t) / count(*), 4) AS coverage, round(avg(y) FILTER (moderator >= t.t), 4) AS gain FROM g, (VALUES (0.0), (0.25), (0.5), (0.75)) t(t) GROUP BY 1")
+def _(spark, d):
+    """Share and gain above each cut."""
+    return studies.coverage_curve(tables.trial(spark, d), "moderator", "y", (0.0, 0.25, 0.5, 0.75))
+
+
+@query("imputed", "WITH x AS (SELECT c_custkey, CASE WHEN c_acctbal < 0 THEN NULL ELSE c_acctbal END AS v FROM customer), m AS (SELECT median(v) AS m FROM x) SELECT c_custkey, round(coalesce(v, m), 4) AS v, v IS NULL AS miss_v FROM x, m")
+def _(spark, d):
+    """Medians for missing values, and flags."""
+    c = tables.read(spark, d, "customer").select("c_custkey", F.when(F.col("c_acctbal") >= 0, F.col("c_acctbal")).alias("v"))
+    return studies.impute(c, ["v"]).select("c_custkey", "v", "miss_v")
+
+
+@query("shard_sizes", "WITH s AS (SELECT (row_number() OVER (ORDER BY s_suppkey) - 1) // 12 AS shard FROM supplier) SELECT shard, count(*)::BIGINT AS n FROM s GROUP BY 1")
+def _(spark, d):
+    """K6: rows of each shard of twelve."""
+    return studies.shards(tables.read(spark, d, "supplier"), "s_suppkey").groupBy("shard").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("oof_ridge")
+def _(spark, d):
+    """Out-of-fold ridge predictions by cluster (tested against numpy)."""
+    t = tables.trial(spark, d).withColumn("s", (F.col("stratum") == "HIGH").cast("double"))
+    return studies.out_of_fold_ridge(t, "cluster", "unit", "y", ["moderator", "s", "a"])
+
+
+@query("placebo_moderator")
+def _(spark, d):
+    """The moderator among hash-drawn placebos (rows only)."""
+    return studies.placebo(tables.trial(spark, d), 50)
+
+
+@query("null_noise_gap")
+def _(spark, d):
+    """Gap made by noise alone (simulation; rows only)."""
+    import numpy as np
+
+    return studies.null_gap(spark, np.linspace(1, 5, 50), 0.46, draws=100)
+
+
+@query("power_simulation")
+def _(spark, d):
+    """Power of a balanced trial (simulation; rows only)."""
+    return studies.power(spark, 200, 0.3, 1.0, draws=100)
+
+
+@query("name_clusters")
+def _(spark, d):
+    """Greedy clusters of names (order-dependent; rows only)."""
+    p = tables.read(spark, d, "nation").select(F.col("n_regionkey").cast("string").alias("family"), F.col("n_nationkey").cast("long").alias("position"), F.col("n_name").alias("name"), F.lit("").alias("definition"), F.lit("one").alias("coder"))
+    return studies.cluster_names(p).groupBy("family").agg(F.count_distinct("cluster").alias("clusters"), F.count(F.lit(1)).alias("names"))
+
+
 # --- text scalars ------------------------------------------------------------------------
 @query("error_markers", "SELECT doc_id, CASE " + " ".join(f"WHEN contains(lower(text), '{m}') THEN '{m.split(':')[0].split('>')[0].strip()}'" for m in C.ERROR_MARKERS) + " END AS marker, CASE WHEN text IS NULL THEN NULL WHEN (contains(lower(text), 'passed') OR regexp_matches(lower(text), '\\bok\\b')) AND (contains(lower(text), 'failed') OR contains(lower(text), 'error')) THEN 'MIXED' WHEN contains(lower(text), 'failed') OR contains(lower(text), 'error') THEN 'FAIL' WHEN contains(lower(text), 'passed') OR regexp_matches(lower(text), '\\bok\\b') THEN 'PASS' ELSE 'UNKNOWN' END AS result FROM documents")
 def _(spark, d):
