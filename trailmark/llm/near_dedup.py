@@ -185,6 +185,7 @@ def similarities(elements: list[np.ndarray], weights: list[np.ndarray]) -> np.nd
             m = np.zeros((n, COLUMNS), np.float32)
             m[owner[lo:hi], column[lo:hi] - a] = np.sqrt(weight[lo:hi])
             common += m @ m.T
+    np.fill_diagonal(common, total)
     union = total[:, None] + total[None, :] - common
     return np.where(union > 0, common / np.maximum(union, 1e-9), 1.0)
 
