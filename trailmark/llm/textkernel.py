@@ -6,6 +6,7 @@ the kernels work on UTF-8 bytes and never build Python strings.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -51,6 +52,19 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+try:
+    _trim = ctypes.CDLL("libc.so.6").malloc_trim
+except (OSError, AttributeError):  # another C library keeps or frees memory by itself
+    _trim = None
+
+
+def release() -> None:
+    """Give memory that is free back to the system; workers live on between tasks."""
+    pa.default_memory_pool().release_unused()
+    if _trim is not None:
+        _trim(0)
+
+
 def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Row slices of a batch with at most ``max_bytes`` of ``column`` each (one row at least)."""
     n = batch.num_rows
@@ -64,6 +78,7 @@ def slices(batch: pa.RecordBatch, column: str, max_bytes: int = SLICE_BYTES) ->
         to = max(at + 1, int(np.searchsorted(ends, base + max_bytes, "right")))
         yield batch.slice(at, to - at)
         at = to
+    release()
 
 
 def text_bytes(arr: pa.Array) -> tuple[np.ndarray, np.ndarray]:
