@@ -4,6 +4,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from trailmark.llm import language_model as lm
@@ -79,3 +80,22 @@ def test_better_than_frequencies_on_held_out(spark):
     rows = lm.op10(spark, d).where("held_out").collect()
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 10 == 0) for r in rows)
     assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+
+
+def test_every_position_trains(spark, odd):
+    """The context rows of every position of every document have moved."""
+    plain = odd.select("doc_id", "text")
+    v, _ = lm.learn_vocabulary(lm.count_tokens(plain))
+    weights = lm.train_weights(plain, v)
+    keys, offsets = lm.token_keys(pa.array([t or "" for _, t in TEXTS]))
+    place, known = v.find(keys)
+    assert known.all()
+    rows = lm.features(keys, v.classes[place].astype(np.int64), offsets)
+    assert (np.abs(weights[rows]).sum(2) > 0).all()
+
+
+@pytest.mark.parametrize("rounds", [1, 2, 3])
+def test_rounds_share_the_positions(rounds):
+    keys, offsets = lm.token_keys(pa.array(["a b c d e f g h " * 50, "", "a b c"]))
+    got = np.concatenate([lm.trained_at(keys, offsets, k, rounds, lm.THIN) for k in range(rounds)])
+    assert sorted(got) == list(range(len(keys)))

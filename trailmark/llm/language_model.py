@@ -42,8 +42,8 @@ ALPHA = 0.1
 BIGRAM, PAIR, SKIPS = 4096, 4096, 4
 WEIGHT_ROWS = BIGRAM + PAIR + SKIPS * (CLASSES + 1) + 1
 ROUNDS = 2
-#: One in so many positions of every training document trains in a round.
-THIN = 12
+#: One in so many positions of every training document trains, in one of the rounds.
+THIN = 1
 #: Tasks that send a gradient in a round, so what is averaged doesn't grow with the data.
 TRAIN_TASKS = 256
 BLOCKS = 16
@@ -201,9 +201,17 @@ def _local_rounds(weights: np.ndarray, scale: np.ndarray, rows: np.ndarray, targ
         weights[-1] -= RATE * g / np.sqrt(scale[-1])
 
 
+def trained_at(keys: np.ndarray, offsets: np.ndarray, number: int, rounds: int, thin: int) -> np.ndarray:
+    """Positions that train in a round: by token and place in the document, so that a
+    document's rounds are disjoint and, unless thinned, cover it in whatever order rows come."""
+    place = np.arange(len(keys)) - np.repeat(offsets[:-1], np.diff(offsets))
+    pick = mix(keys ^ (place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(thin * rounds)
+    return np.flatnonzero(pick == np.uint64(number))
+
+
 def train_weights(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS, thin: int = THIN) -> np.ndarray:
     """Parameter mixing: in each round every task starts from the shared weights, steps
-    through its documents' positions, and the results are averaged by positions seen."""
+    through its share of its documents' positions, and the results are averaged by positions seen."""
     spark = docs.sparkSession
     weights = np.zeros((WEIGHT_ROWS, CLASSES), np.float32)
     weights[-1] = vocabulary.bias
@@ -222,9 +230,7 @@ def train_weights(docs: DataFrame, vocabulary: Vocabulary, rounds: int = ROUNDS,
                     keys, offsets = token_keys(part.column("text"))
                     place, known = v.find(keys)
                     classes = np.where(known, v.classes[place] if len(v.keys) else 0, SINGLES + (keys % np.uint64(ENDINGS)).astype(np.int64)).astype(np.int64)
-                    pick = mix(keys ^ (np.arange(len(keys), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) % np.uint64(thin * rounds)
-                    at = np.flatnonzero(pick % np.uint64(rounds) == number)
-                    at = at[pick[at] // np.uint64(rounds) == 0]
+                    at = trained_at(keys, offsets, number, rounds, thin)
                     rows = features(keys, classes, offsets, at)
                     _local_rounds(w, scale, rows, classes[at])
                     touched += np.bincount(rows.ravel(), minlength=WEIGHT_ROWS)
