@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from trailmark.llm import near_dedup
 
@@ -99,3 +100,25 @@ def test_components_of_long_chains(spark):
     got = {r["node"][0]: r["root"][0] for r in near_dedup.components(edges).collect()}
     assert got == {i: 0 if i <= 20 else 21 if i <= 40 else 41 for i in range(n + 1)}
     assert len(TEXTS) == 11
+
+
+MILLIONS = 1_200_000  # over 2^20
+
+
+def test_components_of_over_a_million_edges(spark):
+    """A node and two neighbours each, so that no component is large."""
+    node = lambda k: F.encode(F.lpad((F.col("id") * 3 + k).cast("string"), 9, "0"), "utf-8")
+    edges = spark.range(MILLIONS // 2).select(F.explode(F.array(*(F.struct(node(k).alias("a"), node(k + 1).alias("b")) for k in (0, 1)))).alias("e")).select("e.*")
+    got = near_dedup.components(edges).agg(F.count(F.lit(1)), F.count_distinct("root")).first()
+    assert tuple(got) == (MILLIONS // 2 * 3, MILLIONS // 2)
+
+
+def test_buckets_of_over_a_million_members(spark):
+    """Two bands with the same members are the same bucket; one with another member isn't."""
+    node = lambda c: F.encode(F.col(c).cast("string"), "utf-8").alias("node")
+    ids = spark.range(MILLIONS)
+    other = ids.select(F.when(F.col("id") == 0, MILLIONS).otherwise(F.col("id")).alias("id"))
+    members = ids.select(F.lit(0).alias("band"), F.lit(5).alias("key"), node("id")).union(ids.select(F.lit(1), F.lit(6), node("id"))).union(other.select(F.lit(2), F.lit(7), node("id")))
+    same, also, not_same = near_dedup._buckets(members).orderBy("band").collect()
+    assert same["n"] == not_same["n"] == MILLIONS
+    assert (same["a"], same["b"]) == (also["a"], also["b"]) and same["a"] != not_same["a"] and same["b"] != not_same["b"]

@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import storage
@@ -230,15 +230,23 @@ def sign(docs: DataFrame, idf: np.ndarray) -> DataFrame:
     return _plain(docs).mapInArrow(run, "doc_id long, md5 binary, node binary, bands array<long>")
 
 
+def _set_hash(*columns) -> Column:
+    """A hash of a set of distinct rows, in any order; unlike a sum it has no size it overflows at."""
+    return F.bit_xor(F.xxhash64(*columns))
+
+
+def _buckets(members: DataFrame) -> DataFrame:
+    """(band, key, n, a, b) of each bucket of two or more: the same n, a and b tell the same members."""
+    return members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), _set_hash("node").alias("a"), _set_hash("node", F.lit(1)).alias("b")).where("n > 1")
+
+
 def candidate_units(nodes: DataFrame) -> DataFrame:
     """(unit, side, node, doc_id, md5): the members of each unit of comparison.
 
     Side 0 or 1 tells the two blocks of a unit apart; a unit of one block has side 0.
     """
     members = nodes.select("node", "doc_id", "md5", F.posexplode("bands").alias("band", "key"))
-    h = F.xxhash64("node")
-    buckets = members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(h, 20)).alias("a"), F.sum(F.shiftrightunsigned(F.xxhash64("node", F.lit(1)), 20)).alias("b")).where("n > 1")
-    once = buckets.groupBy("n", "a", "b").agg(F.min(F.struct("band", "key")).alias("u")).select("n", "u.band", "u.key")
+    once = _buckets(members).groupBy("n", "a", "b").agg(F.min(F.struct("band", "key")).alias("u")).select("n", "u.band", "u.key")
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
     kept = members.join(once.withColumn("blocks", blocks), ["band", "key"])
     mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
@@ -313,7 +321,7 @@ def components(edges: DataFrame) -> DataFrame:
     state = None
     while True:
         edges = storage.materialize(edges, "edges")
-        seen = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.shiftrightunsigned(F.xxhash64("a", "b"), 20)).alias("h")).first()
+        seen = edges.agg(F.count(F.lit(1)).alias("n"), _set_hash("a", "b").alias("h")).first()
         if seen == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
         state = seen
