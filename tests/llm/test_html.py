@@ -49,6 +49,23 @@ def test_odd_pages():
     assert html_text.extract(page("<article>" + f"<p>{BODY}</p>" * 4000 + "</article>")).count("\n\n") == 3999
 
 
+def test_words_of_titles_do_not_drop_text():
+    text = BODY.strip()
+    parts = f"<h2 id=search-trees>Search trees</h2><p>{BODY}</p><section id=related-work><p>{BODY}</p></section><div id=legal-status><p>{BODY}</p></div><div class=social-history><p>{BODY}</p></div>"
+    links = "<div class=related><a href=a>Another story of the same site, with a long title</a> <a href=b>And one more, with a title that is longer still</a></div>"
+    form = f"<div class=search><p>{BODY}</p><input></div>"
+    html = page(f"<article>{parts}{links}{form}<div class=copyright>All rights reserved.</div><section id=related><p><a href=c>{BODY}</a></p></section></article>")
+    assert html_text.extract(html) == "\n\n".join(["Search trees", text, text, text, text])
+
+
+def test_text_siblings_of_any_tag():
+    long = "<p>" + "A sentence with a comma, and so on, and on, and on. " * 40 + "</p>"
+    links = "".join(f"<a href={i}>A link with a longer text, number {i}</a> " for i in range(5))
+    html = page(f"<div><section>{long * 4}</section><section><p>{BODY}</p></section><div>{links}</div><section>Tiny</section></div>")
+    got = html_text.extract(html)
+    assert BODY.strip() in got and "A link" not in got and "Tiny" not in got
+
+
 def test_rows(spark):
     kind = "page_id long, url string, html string, text string, n_chars long"
     rows = [(1, "u", page(f"<article><p>{BODY}</p></article>"), "old", 9), (2, None, None, None, None), (2, None, None, None, None), (None, "", "", "", 0)]

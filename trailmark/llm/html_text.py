@@ -51,23 +51,33 @@ JUNK_WORDS = frozenset(
     "recommendations more widget widgets pager pagination paging search skip hidden outbrain taboola copyright legal disclaimer paywall "
     "tags taglist byline metadata".split()
 )
+#: Junk words that titles and topics hold as well; they tell only of a part that also looks like no text.
+TOPIC_WORDS = frozenset(
+    "more search related legal social copyright notice notices tags promotion respond login alert hidden skip register subscription "
+    "discussion share sharing reply replies recommend recommended recommendations sponsor consent disclaimer cookies menu menus rail "
+    "navigation foot overlay metadata".split()
+)
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+FORM = frozenset("form input select textarea".split())
 HEADER_WORDS = frozenset(("header", "head"))
 GOOD_WORDS = frozenset("article body content entry main page post story text blog hentry".split())
 MODIFIERS = frozenset("has with no without show is".split())
 SCORED = frozenset("p pre td blockquote div section li dd article main".split())
 MIN_PARAGRAPH = 25
+#: A text of more characters, and a share in links below this, is no list of links.
+MIN_TEXT, MAX_LINKS = 80, 0.25
 #: Elements nested deeper hang, with their texts, from the one at this depth.
 MAX_DEPTH = 200
 _SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
 
 
 class Node:
-    __slots__ = ("tag", "words", "parent", "items", "junk", "score", "text", "links", "depth")
+    __slots__ = ("tag", "words", "ids", "parent", "items", "junk", "score", "text", "links", "depth")
 
     def __init__(self, tag, parent):
         self.tag, self.parent, self.items = tag, parent, []
         self.depth = parent.depth + 1 if parent is not None else 0
-        self.words, self.junk, self.score = frozenset(), tag in JUNK, None
+        self.words, self.ids, self.junk, self.score = frozenset(), frozenset(), tag in JUNK, None
 
 
 def _words(value: str) -> frozenset:
@@ -87,7 +97,11 @@ def _describe(node: Node, attrs: str) -> None:
             continue
         value = unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
-            node.words |= _words(value)
+            words = _words(value)
+            if name == "class":
+                node.words |= words
+            else:
+                node.ids |= words
         elif name == "role":
             node.junk |= value.strip().lower() in JUNK_ROLES
         elif name == "style":
@@ -169,6 +183,33 @@ def _close(at: Node, tags: tuple, root: Node) -> Node:
     return at
 
 
+def _no_text(node: Node) -> bool:
+    """Whether a part is short, mostly links or has fields of a form."""
+    size = links = 0
+    todo = [(node, node.tag == "a")]
+    while todo:
+        at, in_link = todo.pop()
+        for item in at.items:
+            if not isinstance(item, Node):
+                size += len(item.strip())
+                links += len(item.strip()) * in_link
+            elif item.tag in FORM:
+                return True
+            elif not item.junk:
+                todo.append((item, in_link or item.tag == "a"))
+    return size <= MIN_TEXT or links >= MAX_LINKS * size
+
+
+def _junk_words(node: Node) -> bool:
+    """Whether class and id tell of junk.  Headings and sections often have ids made of
+    their titles: a section's id counts if it has no other words, a heading's never."""
+    ids = node.ids
+    if node.tag in HEADINGS or (node.tag == "section" and not ids <= JUNK_WORDS):
+        ids = frozenset()
+    found = (node.words | ids) & JUNK_WORDS
+    return bool(found - TOPIC_WORDS) or (bool(found) and node.tag not in HEADINGS and _no_text(node))
+
+
 def _prune(node: Node, in_article: bool) -> bool:
     """Mark what isn't the article; true if the part holds an article, main or h1."""
     holds = node.tag in ("article", "main", "h1")
@@ -181,8 +222,8 @@ def _prune(node: Node, in_article: bool) -> bool:
         return holds
     if node.tag == "header":
         node.junk |= not in_article
-    elif node.words and not holds and not (node.tag in "h1 h2 h3 p span a b i em strong".split() and node.words & GOOD_WORDS):
-        node.junk |= bool(node.words & JUNK_WORDS) or bool(node.words & HEADER_WORDS and not in_article)
+    elif (node.words or node.ids) and not holds and not (node.tag in "h1 h2 h3 p span a b i em strong".split() and (node.words | node.ids) & GOOD_WORDS):
+        node.junk |= _junk_words(node) or bool((node.words | node.ids) & HEADER_WORDS and not in_article and node.tag not in HEADINGS)
     return holds and not node.junk
 
 
@@ -231,7 +272,7 @@ def _density(node: Node) -> float:
 
 def _value(node: Node) -> float:
     prior = 5.0 if node.tag in ("article", "main") else 0.0
-    if node.words & GOOD_WORDS:
+    if (node.words | node.ids) & GOOD_WORDS:
         prior += 5.0
     return (node.score + prior) * (1 - _density(node))
 
@@ -267,11 +308,11 @@ def _keep(node: Node) -> list[Node]:
             continue
         good = item is best
         if not good and item.score is not None:
-            good = _value(item) + (most * 0.2 if item.words and item.words == best.words else 0) >= max(10, most * 0.2)
+            good = _value(item) + (most * 0.2 if item.words | item.ids and item.words | item.ids == best.words | best.ids else 0) >= max(10, most * 0.2)
+        text, dense = item.text.strip(), _density(item)
+        good = good or (len(text) > MIN_TEXT and dense < MAX_LINKS)
         if not good and item.tag in ("p", "pre", "blockquote", "h1", "h2", "h3", "ul", "ol"):
-            text = item.text.strip()
-            dense = _density(item)
-            good = item.tag[0] == "h" or (len(text) > 80 and dense < 0.25) or (0 < len(text) and dense == 0 and re.search(r"[.!?…](\s|$)", text) is not None)
+            good = item.tag[0] == "h" or (0 < len(text) and dense == 0 and re.search(r"[.!?…](\s|$)", text) is not None)
         if good:
             kept.append(item)
     return kept
