@@ -121,6 +121,25 @@ def test_packing_with_weights_and_hashed_queues(odd, monkeypatch):
     whole(packing.pack(odd, segment_sequences=4, with_ids=False).collect(), TEXTS, 0, 1024)
 
 
+def test_many_sources_keep_weights_and_large_queues(spark, monkeypatch):
+    """With more sources than queues, named and large ones aren't mixed with others."""
+    monkeypatch.setattr(packing, "MAX_QUEUES", 4)
+    small = [f"s{k}" for k in range(12)]
+    rows = [(i, "some words of a small source " * 8, small[i % 12]) for i in range(240)] + [(1000 + i, "words of the large one in this corpus " * 8, "large") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1)
+
+    def shares(weights, source):
+        pieces = packing.pack(docs, weights=weights, segment_sequences=4, sequence_tokens=256, with_ids=False).collect()
+        assert sum(p["length"] for p in pieces) == sum({p["doc_id"]: p["doc_tokens"] for p in pieces}.values())
+        windows = sorted({p["sequence_id"] for p in pieces})[:8]
+        first = [p for p in pieces if p["sequence_id"] in windows]
+        return sum(p["length"] for p in first if p["source"] == source) / sum(p["length"] for p in first)
+
+    assert 0.25 < shares(None, "large") < 0.5
+    assert shares({"s5": 4.0}, "s5") > 0.4
+    assert shares({"large": 0.05}, "large") < 0.15
+
+
 def test_windows_hold_target_proportions():
     sizes = np.array([50_000, 30_000, 15_000, 5_000])
     q, give, w = packing.schedule(sizes, np.zeros(4), 1024, 128)

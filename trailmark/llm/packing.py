@@ -17,7 +17,7 @@ Nothing is dropped: a queue that runs empty leaves its part to the others.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -31,13 +31,33 @@ from .textkernel import slices
 SEQUENCE_TOKENS = 1024
 SEGMENT_SEQUENCES = 1024
 MIN_SERVE = 128
-#: More distinct sources than this share queues by hash, which bounds the plan's size.
+#: With more distinct sources than this, half of the queues go to the largest sources (and
+#: one more to each that has a weight); the small ones share the others by hash, which
+#: bounds the plan's size.
 MAX_QUEUES = 4096
 #: Rows of the table of queue offsets up to which it is broadcast (about 40 bytes each).
 BROADCAST_ROWS = 500_000
 
 
-def tokenize(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
+def _own_queue(source: str | None) -> str | None:
+    """The name of a source's own queue; shared ones are '#' and a number."""
+    return None if source is None else "=" + source
+
+
+def with_queue(docs: DataFrame, named: Iterable[str | None] = ()) -> DataFrame:
+    """``docs`` with its sources' queues.  Null and the ``named`` sources have their own."""
+    source = F.col("source")
+    own = F.concat(F.lit("="), source)
+    if docs.select("source").distinct().count() <= MAX_QUEUES:
+        return docs.withColumn("queue", own)
+    size = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)) + 1)
+    largest = docs.where(source.isNotNull()).groupBy("source").agg(size.alias("size")).orderBy(F.desc("size"), "source").limit(MAX_QUEUES // 2)
+    alone = sorted({r["source"] for r in largest.collect()} | {s for s in named if s is not None})
+    shared = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES - MAX_QUEUES // 2)).cast("string"))
+    return docs.withColumn("queue", F.when(source.isNull() | source.isin(alone), own).otherwise(shared))
+
+
+def tokenize(docs: DataFrame, vocabulary: str, end: int, named: Iterable[str | None] = ()) -> DataFrame:
     """doc_id, source, ids of each document and where it stands in its task's part
     of its queue.  Null texts are empty; a null source is a source of its own."""
 
@@ -60,10 +80,7 @@ def tokenize(docs: DataFrame, vocabulary: str, end: int) -> DataFrame:
 
     kind = "part int, row long, doc_id long, source string, queue string, n long, start long, width int, ids binary"
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.col("text").cast("string").alias("text"))
-    queue = F.col("source")
-    if docs.select("source").distinct().count() > MAX_QUEUES:
-        queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string"))
-    return docs.withColumn("queue", queue).mapInArrow(run, kind)
+    return with_queue(docs, named).mapInArrow(run, kind)
 
 
 def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabulary: str | None = None, end: int = 0, sequence_tokens: int = SEQUENCE_TOKENS, segment_sequences: int = SEGMENT_SEQUENCES, min_serve: int = MIN_SERVE, with_ids: bool = True) -> DataFrame:
@@ -79,12 +96,13 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabu
     """
     spark = docs.sparkSession
     vocabulary = vocabulary or bpe.vocabulary_path()
-    rows = storage.materialize(tokenize(docs, vocabulary, end), "tokens")
-    totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES + 1 rows at most
+    rows = storage.materialize(tokenize(docs, vocabulary, end, weights or ()), "tokens")
+    totals = {r["queue"]: r["n"] for r in rows.groupBy("queue").agg(F.sum("n").alias("n")).collect()}  # MAX_QUEUES + 1 rows and the named sources at most
     names = sorted(totals, key=lambda s: (s is not None, s or ""))
     number = {s: i for i, s in enumerate(names)}
     grand = sum(totals.values()) or 1
-    share = np.array([(weights or {}).get(s, totals[s] / grand) for s in names], float)
+    wanted = {_own_queue(s): x for s, x in (weights or {}).items()}
+    share = np.array([wanted.get(s, totals[s] / grand) for s in names], float)  # a shared queue: the sum of its sources' natural shares
     segment = sequence_tokens * segment_sequences
     rates = np.maximum(share / (share.sum() or 1) * segment, 1e-3)
     last = np.maximum(np.ceil(np.array([totals[s] for s in names]) / rates).astype(np.int64) - 1, 0)
