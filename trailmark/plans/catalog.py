@@ -245,7 +245,7 @@ def _(spark, d):
 
 @query("group_folds", "SELECT (('0x' || substr(sha256(o_custkey::VARCHAR), 1, 8))::BIGINT % 5)::BIGINT AS fold, count(*)::BIGINT AS n, count(DISTINCT o_custkey)::BIGINT AS units FROM orders GROUP BY 1")
 def _(spark, d):
-    """Folds by unit."""
+    """Folds by unit."""
     f = ledger.group_folds(tables.read(spark, d, "orders"), "o_custkey", 5)
     return f.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("o_custkey").alias("units"))
 
@@ -367,7 +367,7 @@ def _(spark, d):
 
 @query("obs_size_quantiles", M + ", s AS (SELECT req_id, list_sort(list(length(text))) AS s, count(*) AS n FROM m WHERE is_obs GROUP BY 1) SELECT req_id, s[(n * 0.5)::DOUBLE::INT + CASE WHEN n * 0.5 < (n * 0.5)::DOUBLE::INT THEN 0 ELSE 1 END]::BIGINT AS median, s[floor(n * 0.9)::INT + 1]::BIGINT AS p90, s[n]::BIGINT AS largest FROM s".replace("(n * 0.5)::DOUBLE::INT + CASE WHEN n * 0.5 < (n * 0.5)::DOUBLE::INT THEN 0 ELSE 1 END", "n // 2 + 1"))
 def _(spark, d):
-    """Upper median, ninth decile and maximum of observation sizes."""
+    """Upper median, ninth decile and maximum of observation sizes."""
     return sequence.upper_quantiles(tables.messages(spark, d).where("is_obs"), "req_id", F.length("text"))
 
 
@@ -388,7 +388,7 @@ def _(spark, d):
 
 @query("oversized_then_narrow", E + ", x AS (SELECT *, min(value) OVER (PARTITION BY trace_id ORDER BY event_index ROWS BETWEEN 1 FOLLOWING AND 4 FOLLOWING) AS mn FROM e) SELECT trace_id, count(*)::BIGINT AS oversized, count(*) FILTER (mn < 50)::BIGINT AS narrowed FROM x WHERE value >= 50 GROUP BY 1")
 def _(spark, d):
-    """Large events with a smaller one soon after."""
+    """Large events with a smaller one soon after."""
     return sequence.oversized_then_narrow(tables.events(spark, d), "trace_id", "event_index", "value", 50.0)
 
 
@@ -447,7 +447,7 @@ def _(spark, d):
 
 @query("auto_merge", V + ", u AS (SELECT unit, arg_min(label, rater) FILTER (label IS NOT NULL) AS label, count(*) AS m FROM v GROUP BY 1), k AS (SELECT unit, l.l, count(*) AS k FROM v, unnest(labels) l(l) GROUP BY 1, 2), s AS (SELECT k.unit, string_agg(l, ',' ORDER BY l) FILTER (k = m) AS sh, string_agg(l, ',' ORDER BY l) AS ev FROM k JOIN u USING (unit) GROUP BY 1) SELECT unit, label, coalesce(sh, ev, '') AS labels FROM u LEFT JOIN s USING (unit)")
 def _(spark, d):
-    """Merged votes."""
+    """Merged votes."""
     return agreement.auto_merge(tables.votes(spark, d))
 
 
