@@ -30,6 +30,16 @@ def test_pieces_give_the_library_s_ids():
             assert ids[at[i] : at[i + 1]].tolist() == [*e.tokenizer.encode(t or "", add_special_tokens=False).ids, 2]
 
 
+def test_added_tokens_are_those_of_the_plain_call():
+    from tokenizers import Tokenizer
+
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "x<|endoftext|>y  z <|endoftext|>", "<|endoftext |> none", "plain text"]
+    path = bpe.vocabulary_path()
+    ids, offsets = bpe.Encoder(path).encode(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert [ids[a:b].tolist() for a, b in zip(offsets[:-1], offsets[1:], strict=True)] == want and 50256 in want[0]
+
+
 def test_memo_shrinks(monkeypatch):
     monkeypatch.setattr(bpe, "MEMO_PIECES", 10)
     e = bpe.Encoder(bpe.vocabulary_path())

@@ -5,12 +5,13 @@ that follows it, so a text may be cut before each blank that follows a non-space
 character, and each piece encoded on its own: the ids are those of the whole text.
 Pieces repeat far more often than texts, so the library sees each distinct piece of
 a slice once, and pieces that recur across slices once per worker.  Texts in which a blank follows two or more white-space characters are
-encoded whole, since a run of white space is one unit there.
+encoded whole, since a run of white space is one unit there, and so are texts that hold an added token.
 """
 
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from itertools import repeat
 
@@ -53,9 +54,10 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as source:
             self.tokenizer.model = _uncached(json.load(source)["model"]) or self.tokenizer.model
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.whole = "|".join([_RUN, *(re.escape(t) for t in added if t)])
         vocab = self.tokenizer.get_vocab()
         self.dtype = np.uint16 if max(vocab.values()) < 1 << 16 else np.uint32
         self.blank = np.zeros(max(vocab.values()) + 1, bool)
@@ -117,7 +119,7 @@ class Encoder:
             self._shrink()
         arr = pc.fill_null(arr.cast(pa.large_string()), "")
         n = len(arr)
-        runs = pc.match_substring_regex(arr, _RUN)
+        runs = pc.match_substring_regex(arr, self.whole)
         whole = np.flatnonzero(runs.to_numpy(zero_copy_only=False))
         parts = pc.split_pattern(pc.if_else(runs, "", arr) if len(whole) else arr, " ")
         flat = parts.flatten()
