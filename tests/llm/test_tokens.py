@@ -176,19 +176,61 @@ def test_sentencepiece_parity_and_decoding(spark, odd):
     assert back == {d: t for d, t in TEXTS if d in (1, 6, 8)}
 
 
+def varint(n):
+    out = b""
+    while n > 127:
+        out, n = out + bytes([n & 127 | 128]), n >> 7
+    return out + bytes([n])
+
+
+def message(*fields):
+    """A protobuf message of (number, int or bytes) fields."""
+    return b"".join(varint(n << 3) + varint(v) if isinstance(v, int) else varint(n << 3 | 2) + varint(len(v)) + v for n, v in fields)
+
+
+def model_file(path, pieces, kind, **normalizer):
+    """A model file of (piece, score, type) rows, made by hand."""
+    import struct
+
+    piece = lambda text, score, type_: message((1, text.encode())) + bytes([2 << 3 | 5]) + struct.pack("<f", score) + message((3, type_))
+    data = b"".join(message((1, piece(*p))) for p in pieces) + message((2, message((3, kind))), (3, message((3, 1), (4, 1), (5, 1))))
+    path.write_bytes(data)
+    return str(path)
+
+
+SPECIAL = [("<unk>", 0, 2), ("<s>", 0, 3), ("</s>", 0, 3), ("<sep>", 0, 4)]
+LETTERS = [(c, -6.0 - k / 8, 1) for k, c in enumerate("▁abcdes</>p")]
+
+
+@pytest.mark.parametrize("kind", [1, 2])
+def test_sentencepiece_symbols_and_control_names(tmp_path, kind):
+    """User-defined symbols stand for themselves; the names of control pieces in a text are text."""
+    words = [("▁a", -1.0, 1), ("ab", -1.5, 1), ("▁ab", -2.0, 1), ("cd", -2.25, 1)]
+    path = model_file(tmp_path / "m.model", [*SPECIAL, *LETTERS, *words], kind)
+    coder = sentencepiece_model.PieceEncoder(path)
+    texts = ["ab cd", "ab<sep>cd ab", "<sep>", "a <sep> a", "<s>ab</s>", "abcd  a<sep><sep>b", "", "a", "zzz ab"]
+    ids, offsets, parity = coder.encode_verified(pa.array(texts))
+    assert parity.all()
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:], strict=True):
+        assert ids[a:b].tolist() == coder.reference.encode(t), t
+    assert coder.decode([coder.reference.encode("ab<sep>cd"), [1, *coder.reference.encode("ab"), 2]]) == ["ab<sep>cd", "ab"]
+
+
+def test_memo_tells_pieces_apart():
+    """Pieces with one hash, one place in the table, or both."""
+    rng = np.random.default_rng(0)
+    keys = rng.integers(0, 2**63, 3000, dtype=np.uint64) >> np.uint64(50)
+    begins = np.arange(3000, dtype=np.uint64)
+    memo = bpe.Memo(13)
+    memo.add(keys[:2000], begins[:2000], np.arange(2000, dtype=np.int32))
+    assert memo.find(keys, begins).tolist() == [*range(2000), *[-1] * 1000]
+    memo.add(keys[2000:], begins[2000:], np.arange(2000, 3000, dtype=np.int32))
+    assert memo.find(keys, begins).tolist() == list(range(3000))
+
+
 def test_sentencepiece_unigram_rebuilds():
     from tokenizers import Tokenizer
 
-    def message(*fields):
-        out = b""
-        for number, value in fields:
-            if isinstance(value, int):
-                out += bytes([number << 3 & 127 | 128 * (number > 15), number >> 4]) if number > 15 else bytes([number << 3])
-                out += bytes([value])
-            else:
-                out += bytes([number << 3 | 2, len(value)]) + value
-        return out
-
     import struct
 
     def piece(text, score, kind):

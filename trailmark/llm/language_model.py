@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from . import storage
 from .bpe import ragged
 from .docstats import crc_mod
-from .textkernel import Words, mix, slices
+from .textkernel import MASKS, Words, bytes_from, first_bytes, mix, slices
 
 FOLDS, HELD_OUT = 10, 0
 CLASSES = 64
@@ -59,8 +59,6 @@ RATE = 0.15
 UNUSED, MOST_LOGIT = -30.0, 60.0
 AT_ONCE = 4
 END = np.uint64(0xE0D0E0D0E0D0E0C0)
-WIDE = 8
-_MASKS = np.array([(1 << 8 * k) - 1 for k in range(WIDE + 1)], np.uint64)
 #: Bytes of text at once: what numpy makes of them stays in a core's cache.
 SLICE_BYTES = 1 << 18
 
@@ -71,12 +69,9 @@ def token_keys(arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     n = len(w.counts)
     keys, spelling = np.empty(len(w.hash) + n, np.uint64), np.zeros(len(w.hash) + n, np.uint64)
     offsets = w.first + np.arange(n + 1)
-    # Eight bytes from every place on, and three zeros before the first.
-    data = np.concatenate([np.zeros(3, np.uint8), w.data, np.zeros(WIDE, np.uint8)])
-    window = np.ndarray(len(w.data) + 4, "<u8", data, strides=(1,))
-    size = np.minimum(w.ends - w.starts, WIDE)
-    begin = window[w.starts + 3] & _MASKS[size]
-    last = (window[w.ends] & _MASKS[3]) >> (8 * (3 - np.minimum(size, 3))).astype(np.uint64)
+    begin = first_bytes(w.data, w.starts, w.ends)
+    size = np.minimum(w.ends - w.starts, 3)
+    last = (bytes_from(w.data)[w.ends] & MASKS[3]) >> (8 * (3 - size)).astype(np.uint64)
     place = np.ones(len(keys), bool)
     place[offsets[1:] - 1] = False
     keys[place] = (w.hash & ~np.uint64(CLASSES - 1)) | (mix(last) % np.uint64(CLASSES))

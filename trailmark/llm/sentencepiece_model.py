@@ -10,6 +10,7 @@ worker first meets it.
 
 from __future__ import annotations
 
+import re
 import struct
 from dataclasses import dataclass, field
 
@@ -20,12 +21,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe
-from .bpe import Encoder, ragged
+from .bpe import Encoder, join, ragged
 from .textkernel import slices, text_bytes
 
 MARK = "▁"
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = range(1, 7)
 UNIGRAM, BPE = 1, 2
+#: New pieces in each text of a batch.
+AT_ONCE = 512
 
 
 @dataclass
@@ -128,10 +131,12 @@ def build(m: Model, split: bool = False):
     which is right for texts without runs of blanks."""
     from tokenizers import Regex, Tokenizer, decoders, models, normalizers, pre_tokenizers
 
+    # Only normal, user-defined and byte pieces may come from text; the others keep their ids under names no text has.
+    names = [p if t in (NORMAL, USER, BYTE) else f"\U000F0000{i}\U000F0000" for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True))]
     if m.kind == UNIGRAM:
-        model = models.Unigram([(p, s) for p, s in zip(m.pieces, m.scores, strict=True)], m.unk_id, m.byte_fallback)
+        model = models.Unigram(list(zip(names, m.scores, strict=True)), m.unk_id, m.byte_fallback)
     elif m.kind == BPE:
-        model = models.BPE({p: i for i, p in enumerate(m.pieces)}, merges(m), unk_token=m.pieces[m.unk_id], fuse_unk=True, byte_fallback=m.byte_fallback)
+        model = models.BPE({p: i for i, p in enumerate(names)}, merges(m), unk_token=names[m.unk_id], fuse_unk=True, byte_fallback=m.byte_fallback)
     else:
         raise ValueError("word and character models are not rebuilt")
     t = Tokenizer(model)
@@ -152,7 +157,10 @@ def build(m: Model, split: bool = False):
 
 class PieceEncoder(Encoder):
     """``bpe.Encoder`` for a SentencePiece model: every piece, a text's first one
-    too, begins with the marker, and runs of blanks make a text be encoded whole."""
+    too, begins with the marker, and runs of blanks make a text be encoded whole.
+
+    The library encodes batches of texts (new pieces are dealt into some), which it
+    does with as many threads as it is given (``RAYON_NUM_THREADS``)."""
 
     def __init__(self, path: str):
         import sentencepiece
@@ -164,13 +172,14 @@ class PieceEncoder(Encoder):
         self.reference = sentencepiece.SentencePieceProcessor(model_file=path)
         self.dtype = np.uint16 if len(m.pieces) <= 1 << 16 else np.uint32
         self.blank = np.array([p.startswith(MARK) for p in m.pieces])
-        #: Entries that span a word's end, or a normaliser that moves blanks, forbid pieces.
-        self.by_piece = m.add_dummy_prefix and m.escape_whitespaces and not m.charsmap and not any(MARK in p.lstrip(MARK) for p in m.pieces)
+        self.symbols = {p: i for i, (p, t) in enumerate(zip(m.pieces, m.types, strict=True)) if t == USER}
+        self.symbol = re.compile("|".join(re.escape(p) for p in sorted(self.symbols, key=len, reverse=True))) if self.symbols else None
+        #: Entries that span a word's end, user-defined symbols, or a normaliser that moves blanks, forbid pieces.
+        self.by_piece = m.add_dummy_prefix and m.escape_whitespaces and not m.charsmap and not self.symbols and not any(MARK in p.lstrip(MARK) for p in m.pieces)
         self.bytes = [self._bytes(i) for i in range(len(m.pieces))]
         self.byte_size = np.array([len(b) for b in self.bytes])
         self.byte_pool = np.frombuffer(b"".join(self.bytes), np.uint8)
         self.byte_start = np.cumsum(self.byte_size) - self.byte_size
-        self.differing = 0
         self._reset()
 
     def _bytes(self, i: int) -> bytes:
@@ -181,12 +190,27 @@ class PieceEncoder(Encoder):
 
     def _check(self, texts: list[str], got: list[np.ndarray]) -> np.ndarray:
         """True where the ids are those of the sentencepiece library."""
-        want = self.reference.encode(texts, num_threads=1)
+        want = self.reference.encode(texts)
         return np.array([len(g) == len(w) and (g == np.array(w, g.dtype)).all() for g, w in zip(got, want, strict=True)], bool)
 
     def _whole(self, texts: list[str]) -> list[np.ndarray]:
+        if self.symbol is not None:
+            return [self._with_symbols(t) for t in texts]
         return [np.array(e.ids, self.dtype) for e in self.whole.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _with_symbols(self, text: str) -> np.ndarray:
+        """User-defined symbols stand for themselves, the longest first; the model sees what is between."""
+        text = self.whole.normalizer.normalize_str(text) if self.whole.normalizer is not None else text
+        out, at = [], 0
+        for m in [*self.symbol.finditer(text), None]:
+            between = text[at : m.start() if m else len(text)]
+            if between:
+                out += [t.id for t in self.whole.model.tokenize(between)]
+            if m:
+                out.append(self.symbols[m[0]])
+                at = m.end()
+        return np.array(out, self.dtype)
+
     def _reset(self) -> None:
         super()._reset()
         self.same = np.zeros(0, bool)
@@ -194,31 +218,34 @@ class PieceEncoder(Encoder):
     def _shrink(self) -> None:
         self._reset()
 
-    def _learn(self, keys: list[str]) -> None:
-        (found,) = self.split.encode_batch_fast([" ".join(keys)], add_special_tokens=False)
-        ids = np.array(found.ids, self.dtype)
-        bounds = np.append(np.flatnonzero(self.blank[ids]), len(ids))
-        self._add(keys, ids, np.diff(bounds))
-        same = np.ones(len(keys), bool)
-        for a in range(0, len(keys), 64):  # a joined text at a time; each piece where that differs
-            b = min(a + 64, len(keys))
-            got = ids[bounds[a] : bounds[b]]
-            want = np.array(self.reference.encode(" ".join(keys[a:b])), self.dtype)
-            if len(got) != len(want) or (got != want).any():
-                same[a:b] = self._check(keys[a:b], np.split(got, bounds[a + 1 : b] - bounds[a]))
+    def _learn(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids, size of each piece).  The pieces go to the library as a batch of texts of
+        ``AT_ONCE`` pieces, each checked against the sentencepiece library (and piece by
+        piece where they differ)."""
+        cuts = range(0, len(starts), AT_ONCE)
+        texts = [join(data, starts[a : a + AT_ONCE], ends[a : a + AT_ONCE])[1:] for a in cuts]
+        got = [np.array(e.ids, self.dtype) for e in self.split.encode_batch_fast(texts, add_special_tokens=False)]
+        same = np.ones(len(starts), bool)
+        size = [np.diff(np.append(np.flatnonzero(self.blank[ids]), len(ids))) for ids in got]
+        for a, ids, n, right in zip(cuts, got, size, self._check(texts, got), strict=True):
+            if not right:
+                pieces = [data[x:y].tobytes().decode() for x, y in zip(starts[a : a + AT_ONCE], ends[a : a + AT_ONCE], strict=True)]
+                same[a : a + AT_ONCE] = self._check(pieces, np.split(ids, np.cumsum(n)[:-1]))
         self.same = np.concatenate([self.same, same])
+        return np.concatenate(got), np.concatenate(size)
 
     def encode_verified(self, arr: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, offsets, parity of each text); null is empty."""
-        if len(self.memo) > bpe.MEMO_PIECES:
+        if len(self.keys) > bpe.MEMO_PIECES:
             self._shrink()
         arr = pc.fill_null(arr.cast(pa.large_string()), "")
         odd = pc.or_(pc.match_substring_regex(arr, f"^ |  | $|{MARK}"), pc.equal(arr, "")).to_numpy(zero_copy_only=False) if self.by_piece else np.ones(len(arr), bool)
-        parts = pc.split_pattern(arr.filter(pa.array(~odd)), " ")
-        first = np.asarray(parts.offsets).astype(np.int64)
-        first -= first[0]
-        coded = parts.flatten().dictionary_encode()
-        code = self._codes(coded.dictionary.to_pylist())[np.asarray(coded.indices)]
+        data, offsets = text_bytes(arr.filter(pa.array(~odd)))
+        blank = np.flatnonzero(data == 32)
+        starts = np.sort(np.concatenate([offsets[:-1], blank + 1]))
+        ends = np.sort(np.concatenate([blank, offsets[1:]]))
+        first = np.searchsorted(starts, offsets)
+        code = self._codes(data, starts, ends) if len(starts) else np.zeros(0, np.int64)
         length = self.size[code]
         ids = self.pool[ragged(self.start[code], length)]
         tokens, parity = np.zeros(len(arr), np.int64), np.ones(len(arr), bool)
@@ -248,8 +275,12 @@ class PieceEncoder(Encoder):
         return data, at
 
     def decode(self, ids: list[list[int]]) -> list[str]:
-        """Texts of id lists by the tokenizers library."""
-        return self.whole.decode_batch(ids, skip_special_tokens=False)
+        """Texts of id lists by the tokenizers library; control ids have no text."""
+        types, unknown = self.model.types, self.model.unk_id
+        kept = [[i for i in x if types[i] != CONTROL] for x in ids]
+        if any(unknown in x for x in kept):  # the library has no name for an unknown piece
+            return [b"".join(self.bytes[i] for i in x).decode(errors="replace")[self.model.add_dummy_prefix and len(x) > 0 :] for x in kept]
+        return self.whole.decode_batch(kept, skip_special_tokens=False)
 
 
 _encoders: dict[str, PieceEncoder] = {}
@@ -307,4 +338,9 @@ def decode(rows: DataFrame, path: str | None = None) -> DataFrame:
 
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token counts, digests, parity and round trip of every document.
+
+    Null and empty texts have no tokens; repeated rows are encoded each; a null doc_id
+    stays null; an empty table gives no rows.
+    """
     return encode(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False)

@@ -125,6 +125,21 @@ def span_hash(prefix: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nd
     return mix(h + (ends - starts).astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
 
 
+def bytes_from(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on (zeros beyond the end), as one number each;
+    place k is at k + 3, so three zeros stand before the first byte."""
+    padded = np.concatenate([np.zeros(3, np.uint8), data, np.zeros(8, np.uint8)])
+    return np.ndarray(len(data) + 4, "<u8", padded, strides=(1,))
+
+
+MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def first_bytes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The first eight bytes of each span; zeros beyond its end."""
+    return bytes_from(data)[starts + 3] & MASKS[np.minimum(ends - starts, 8)]
+
+
 class Words:
     """Words of a slice: byte spans, 64-bit hashes, and each text's range of words."""
 
