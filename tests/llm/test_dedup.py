@@ -122,3 +122,11 @@ def test_buckets_of_over_a_million_members(spark):
     same, also, not_same = near_dedup._buckets(members).orderBy("band").collect()
     assert same["n"] == not_same["n"] == MILLIONS
     assert (same["a"], same["b"]) == (also["a"], also["b"]) and same["a"] != not_same["a"] and same["b"] != not_same["b"]
+
+
+def test_clashing_names_and_repeated_rows(spark):
+    text = "one two three four five six seven eight"
+    docs = spark.createDataFrame([(1, text, 7, "a"), (1, text, 7, "a"), (2, text + " nine", 8, "b"), (3, None, 9, "c")], "doc_id long, text string, key_id int, _key_md5 string")
+    kept = near_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"], r["key_id"]) for r in kept.collect()) == [(1, 7), (2, 8), (3, 9)]

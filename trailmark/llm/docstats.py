@@ -105,18 +105,24 @@ def crc_mod(column: str, n: int):
     return F.crc32(F.col(column).cast("string")) % n
 
 
+def one_text(docs: DataFrame, *keys: str) -> DataFrame:
+    """The least text of each key, so that repeated identifiers don't make a sample longer."""
+    return docs.groupBy(*keys).agg(F.min("text").alias("text"))
+
+
 def labelled(spark: SparkSession, sf_dir: str, label: str, fold, max_rows: int = MAX_FIT_ROWS) -> DataFrame:
     """(doc_id, label, text) of at most ``max_rows`` labelled documents that ``fold`` admits.
 
     The rows with the smallest hash of doc_id are taken, so the sample is the same in
     every run.  It is the only bounded part of fitting; it is small enough to broadcast.
+    A doc_id with labels 0 and 1 counts as 1; one with several texts has its least.
     """
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("label"))
     labels = labels.where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & fold)
     labels = labels.groupBy("doc_id").agg(F.max("label").alias("label"))
     sample = labels.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.join(F.broadcast(sample), "doc_id")
+    return one_text(docs.join(F.broadcast(sample), "doc_id"), "doc_id", "label")
 
 
 def fit_features(sample: DataFrame) -> tuple[np.ndarray, np.ndarray]:

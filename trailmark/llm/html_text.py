@@ -374,4 +374,9 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
 
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.
+
+    A null or empty page has the text ''; repeated rows are extracted each; an empty table
+    gives no rows.
+    """
     return extract_pages(spark.read.parquet(f"{sf_dir}/pages.parquet"))

@@ -56,6 +56,13 @@ def decode(data: bytes) -> np.ndarray:
     kind = data[:2]
     if kind not in (b"P1", b"P2", b"P3", b"P4", b"P5", b"P6"):
         raise ValueError("neither Netpbm nor BMP")
+    try:
+        return _decode_netpbm(data, kind)
+    except (OverflowError, TypeError) as e:
+        raise ValueError("not a whole Netpbm image") from e
+
+
+def _decode_netpbm(data: bytes, kind: bytes) -> np.ndarray:
     at, head = 2, []
     for _ in range(2 if kind in (b"P1", b"P4") else 3):
         m = _TOKEN.match(data, at)
@@ -65,10 +72,15 @@ def decode(data: bytes) -> np.ndarray:
         at = m.end()
     w, h = head[:2]
     most = head[2] if len(head) > 2 else 1
+    if w < 1 or h < 1 or not 1 <= most < 1 << 16:
+        raise ValueError("an image without samples, or a depth out of range")
     deep = 3 if kind in (b"P3", b"P6") else 1
     if kind == b"P1":
         digits = re.sub(rb"#[^\n]*\n?|\s", b"", data[at:])
-        flat = 1 - (np.frombuffer(digits, np.uint8)[: w * h] - 48)
+        flat = np.frombuffer(digits, np.uint8)[: w * h]
+        if ((flat != 48) & (flat != 49)).any():
+            raise ValueError("a sample that is no bit")
+        flat = 49 - flat
     elif kind in (b"P2", b"P3"):
         flat = np.array(re.sub(rb"#[^\n]*\n?", b" ", data[at:]).split()[: w * h * deep], int)
     elif kind == b"P4":
@@ -85,10 +97,14 @@ def decode(data: bytes) -> np.ndarray:
 
 
 def _decode_bmp(data: bytes) -> np.ndarray:
+    if len(data) < 54:
+        raise ValueError("cut off header")
     at, size, w, h, _, bits, packed = struct.unpack_from("<IIiiHHI", data, 10)
     if packed or bits not in (1, 4, 8, 24, 32):
         raise ValueError("a kind of bitmap that isn't read")
     flip, h = h > 0, abs(h)
+    if w < 1 or h < 1:
+        raise ValueError("an image without samples")
     stride = -(-w * bits // 32) * 4
     rows = np.frombuffer(data, np.uint8, stride * h, at).reshape(h, stride)
     rows = rows[::-1] if flip else rows
@@ -160,30 +176,44 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def features(media: DataFrame, with_tile: bool = True) -> DataFrame:
+def features(media: DataFrame) -> DataFrame:
     """Decode a table of (doc_id, n_bytes, media): the payload's digests, the stored
-    form's, the difference hash and the NPY tile."""
+    form's, the difference hash and the NPY tile.
+
+    Media that is null or no image that can be read has nulls in all these columns;
+    repeated rows are decoded each; other columns are ignored; an empty table gives no rows.
+    """
 
     def run(batches):
         for batch in batches:
             for part in slices(batch, "media", 1 << 22):
-                rows = []
-                for data in part.column("media").to_pylist():
-                    image = decode(data)
-                    payload = image.tobytes()
-                    small = tile(image)
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), zlib.crc32(small), small))
-                names = ("payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "tile_crc32", "tile")
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary())
-                columns = {k: pa.array(c, t) for k, c, t in zip(names, zip(*rows, strict=True), kinds, strict=True)}
-                if not with_tile:
-                    del columns["tile"]
+                rows = [_measured(data) for data in part.column("media").to_pylist()]
+                columns = {k: pa.array(c, t) for (k, t), c in zip(_KINDS.items(), zip(*rows, strict=True), strict=True)}
                 yield pa.RecordBatch.from_pydict({"doc_id": part.column("doc_id"), "n_bytes": part.column("n_bytes")} | columns)
 
-    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile_crc32 long"
-    return media.mapInArrow(run, kind + ", tile binary" * with_tile)
+    kind = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, tile binary"
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, kind)
+
+
+_KINDS = {"payload_bytes": pa.int64(), "payload_sha256": pa.string(), "tail_crc32": pa.int64(), "media_bytes": pa.int64(), "media_sha256": pa.string(), "feature": pa.string(), "tile": pa.binary()}
+
+
+def _measured(data: bytes | None) -> tuple:
+    try:
+        image = decode(data or b"")
+    except ValueError:
+        return (None,) * len(_KINDS)
+    payload = image.tobytes()
+    return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-ROW_BYTES:]), len(data), hashlib.sha256(data).hexdigest(), difference_hash(image), tile(image)
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Store every text as an image table, read it back, and derive the contract's columns."""
-    return features(storage.materialize(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media"), with_tile=False)
+    """Store every text as an image table, read it back, write the tiles and features, and
+    derive the contract's columns (and the stored tile's CRC-32) from what is stored.
+
+    Null and empty texts have one row of zeros; repeated rows are stored each; an empty
+    table gives no rows.
+    """
+    media = storage.materialize(store(spark.read.parquet(f"{sf_dir}/documents.parquet")), "media")
+    stored = storage.materialize(features(media), "tiles")
+    return stored.withColumn("tile_crc32", F.crc32("tile")).drop("tile")

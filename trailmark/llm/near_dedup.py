@@ -318,9 +318,12 @@ def components(edges: DataFrame) -> DataFrame:
     Large-star and small-star (Kiveris et al. 2014) in turn until nothing changes; each
     round is written to the shared folder.
     """
-    state = None
+    state, before, spark = None, None, edges.sparkSession
     while True:
-        edges = storage.materialize(edges, "edges")
+        edges, path = storage.table(edges, "edges")
+        if before:
+            storage.delete(spark, before)
+        before = path
         seen = edges.agg(F.count(F.lit(1)).alias("n"), _set_hash("a", "b").alias("h")).first()
         if seen == state:
             return edges.select(F.col("b").alias("node"), F.col("a").alias("root")).union(edges.select("a", "a").distinct())
@@ -352,15 +355,29 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     return signed.select("doc_id", "md5", "node").join(of_node, "node").select("doc_id", "md5", "class_id", "class_md5")
 
 
+def _unused(name: str, columns: list[str]) -> str:
+    """The name, with as many underscores as it takes to be no column's."""
+    taken = {c.lower() for c in columns}
+    while name in taken:
+        name = "_" + name
+    return name
+
+
 def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """``docs`` with one row of each class, its least (doc_id, md5); all columns stay."""
+    """``docs`` with one row of each class, its least (doc_id, md5); all columns stay,
+    whatever their names.
+
+    Null and empty texts, and texts without words, are one class; of repeated rows one
+    stays; an empty table gives no rows.
+    """
+    key_id, key_md5 = (_unused(name, docs.columns) for name in ("key_id", "key_md5"))
     found = storage.materialize(classes(docs, threshold), "classes")
     first = F.col("doc_id").eqNullSafe(F.col("class_id")) & (F.col("md5") == F.col("class_md5"))
     text = F.unhex(F.md5(F.coalesce(docs["text"].cast("string"), F.lit(""))))
-    is_row = lambda k: docs["doc_id"].cast("long").eqNullSafe(k["key_id"]) & (text == k["key_md5"])
+    is_row = lambda k: docs["doc_id"].cast("long").eqNullSafe(k[key_id]) & (text == k[key_md5])
 
     def keyed(rows: DataFrame) -> DataFrame:
-        rows = rows.select(F.col("doc_id").alias("key_id"), F.col("md5").alias("key_md5"))
+        rows = rows.select(F.col("doc_id").alias(key_id), F.col("md5").alias(key_md5))
         return F.broadcast(rows) if rows.count() <= BROADCAST_KEYS else rows
 
     gone = keyed(found.where(~first).select("doc_id", "md5").distinct())
@@ -369,10 +386,14 @@ def keep_one(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     if again.isEmpty():
         return kept
     again = keyed(again)  # rows that are there more than once
-    once = docs.join(again, is_row(again), "inner").dropDuplicates(["key_id", "key_md5"]).drop("key_id", "key_md5")
+    once = docs.join(again, is_row(again), "inner").dropDuplicates([key_id, key_md5]).drop(key_id, key_md5)
     return kept.join(again, is_row(again), "left_anti").unionByName(once)
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The class of each document."""
-    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id")
+    """The class of each document: class_id and class_md5 are its least row's doc_id and text digest.
+
+    Null and empty texts, and texts without words, are one class; repeated rows are in one
+    class; an empty table gives no rows.
+    """
+    return classes(spark.read.parquet(f"{sf_dir}/documents.parquet")).select("doc_id", "class_id", F.lower(F.hex("class_md5")).alias("class_md5"))

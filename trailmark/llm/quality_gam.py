@@ -162,5 +162,11 @@ def score(docs: DataFrame, model: Additive) -> DataFrame:
 
 
 def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality score of every document.
+
+    Null and empty texts have the score of no words; a null doc_id is scored, never learned
+    from, and its held_out is null; without labels the score is 0.5 everywhere; repeated
+    rows are scored each; an empty table gives no rows.
+    """
     got = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(spark, sf_dir))
     return got.select("doc_id", (docstats.crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")

@@ -146,4 +146,9 @@ def annotate(docs: DataFrame, model: Trees, threshold: float = 0.5) -> DataFrame
 
 
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base counts and verdict of every document.
+
+    Null and empty texts have no words, so they fail; without labels the base rules alone
+    decide; repeated rows are judged each; an empty table gives no rows.
+    """
     return annotate(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(spark, sf_dir))

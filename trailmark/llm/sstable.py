@@ -198,8 +198,9 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
     """Encode ``docs`` (doc_id, text; null text is empty, other columns are ignored)
     and write them below ``path`` in ascending doc_id order; return the manifest.
 
-    Documents with the same doc_id are all kept, in the order of their texts; a null
-    doc_id comes first.  An empty table makes a manifest without shards.
+    Documents with the same doc_id are all kept, in the order of their texts' hashes (and
+    texts), so that many of one identifier, or of none, spread over shards; a null doc_id
+    comes first.  An empty table makes a manifest without shards.
     """
     vocabulary = vocabulary or bpe.vocabulary_path()
     spark = docs.sparkSession
@@ -229,8 +230,10 @@ def write(docs: DataFrame, path: str, vocabulary: str | None = None, end: int =
 
     rows = (
         docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-        .repartitionByRange(partitions, "doc_id")
-        .sortWithinPartitions("doc_id", "text")
+        .withColumn("hash", F.xxhash64("text"))
+        .repartitionByRange(partitions, "doc_id", "hash")
+        .sortWithinPartitions("doc_id", "hash", "text")
+        .drop("hash")
         .mapInArrow(shard, "shard int, name string, first long, last long, docs long, ids long, bytes long")
         .collect()  # a row for each shard
     )
@@ -282,7 +285,7 @@ def read(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
                 with files.open_input_file(at) as source:
                     rows, held = [], 0
                     for key, ids in Reader(source):
-                        rows.append((id_of(key), start, len(ids), bpe.crc(ids), ids))
+                        rows.append((id_of(key), start, len(ids), bpe.crc(ids), ids if with_ids else None))
                         start += len(ids)
                         held += len(ids) if with_ids else 1
                         if held > 50_000:
@@ -303,9 +306,11 @@ def _batch(rows: list[tuple], with_ids: bool) -> pa.RecordBatch:
 
 
 def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Encode, write and read back all documents; the columns of the contract."""
+    """Encode, write and read back all documents; the columns of the contract.
+
+    Null text is empty (the end id alone); repeated identifiers are all kept; a null
+    doc_id comes first; an empty table gives no rows.
+    """
     path = storage.new_path(spark, "sstable")
-    if "://" not in path and not path.startswith("file:"):
-        path = "file://" + path
     write(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
     return read(spark, path, with_ids=False)

@@ -125,9 +125,12 @@ def train(spark: SparkSession, sf_dir: str, max_positive: int = MAX_POSITIVE, ma
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").where(fold & F.col("toxic").isin(0, 1))
     seen = labels.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("toxic").cast("long")).alias("toxic")).first()
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).where(F.col("doc_id").isNotNull())
-    ids = docs.select("doc_id").where(fold).distinct().orderBy(F.xxhash64("doc_id", F.lit(7)), "doc_id").limit(max_unlabelled)
+    order = F.xxhash64("doc_id", F.lit(7))
+    share = min(1.0, 8 * max_unlabelled / max(docs.count(), 1))  # what is sorted doesn't grow with the corpus
+    near = docs.select("doc_id").where(fold & (F.pmod(order, F.lit(1 << 30)) < int(share * (1 << 30))))
+    ids = near.distinct().orderBy(order, "doc_id").limit(max_unlabelled)
     doc_p, bucket_p, n_p = _sample(toxic)
-    doc_u, bucket_u, n_u = _sample(docs.join(F.broadcast(ids), "doc_id"))
+    doc_u, bucket_u, n_u = _sample(docstats.one_text(docs.join(F.broadcast(ids), "doc_id"), "doc_id"))
     prior = (seen["toxic"] or 0) / seen["n"] if seen["n"] else 0.5
     return fit(np.concatenate([doc_p, doc_u + n_p]), np.concatenate([bucket_p, bucket_u]), np.arange(n_p + n_u) < n_p, prior)
 
@@ -146,5 +149,11 @@ def score(docs: DataFrame, model: Linear) -> DataFrame:
 
 
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity score of every document.
+
+    Null and empty texts have the score of no words; a null doc_id is scored, never learned
+    from, and its held_out is null; without labels the score is 0.5 everywhere; repeated
+    rows are scored each; an empty table gives no rows.
+    """
     got = score(spark.read.parquet(f"{sf_dir}/documents.parquet"), train(spark, sf_dir))
     return got.select("doc_id", (docstats.crc_mod("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", "predicted")
