@@ -72,3 +72,59 @@ def test_rows(spark):
     got = html_text.extract_pages(spark.createDataFrame(rows, kind)).collect()
     assert sorted((r["page_id"] or 0, r["text"], r["n_chars"]) for r in got) == [(0, "", 0), (1, BODY.strip(), len(BODY.strip())), (2, "", 0), (2, "", 0)]
     assert html_text.extract_pages(spark.createDataFrame([], kind)).count() == 0
+
+
+def test_unclosed_raw_parts_do_not_nest():
+    for tag in ("svg", "noscript", "canvas", "video"):
+        got = html_text.extract(page(f"<article><p>{BODY}</p></article>" + f"<{tag}>" * 100_000 + "<p>after</p>"))
+        assert got == BODY.strip()
+
+
+def test_links_inside_an_article():
+    farm = "".join(f"<li><a href={i}>A headline of another story, number {i}</a></li>" for i in range(12))
+    notes = "<ul><li>A note with a <a href=x>link</a> and much more text around it</li><li>Another note</li></ul>"
+    html = page(f"<main><article><h1>Head</h1><p>{BODY}</p><ul>{farm}</ul>{notes}</article><div><ul>{farm}</ul></div></main>")
+    assert html_text.extract(html) == "\n\n".join(["Head", BODY.strip(), "A note with a link and much more text around it", "Another note"])
+
+
+def test_inline_words_headers_and_threads():
+    html = page(
+        f"<article><header><h1>Head</h1><p class=byline>By A. Writer</p><p>3 May</p></header><p>{BODY}See <span class=tags>these words</span> too.</p>"
+        f"<h2 class=search>Search algorithms</h2><div class=more-info><p>{BODY}</p></div></article><ol class=thread><li><p>{BODY}</p></li><li><p>{BODY}</p></li></ol>"
+    )
+    assert html_text.extract(html) == "\n\n".join(["Head", f"{BODY}See these words too.", "Search algorithms", BODY.strip()])
+
+
+def test_pages_against_an_independent_extractor():
+    """The test pages' articles by the standard library's parser, without trees or scores."""
+    import re
+    from html.parser import HTMLParser
+
+    import pyarrow.parquet as pq
+
+    class Articles(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.inside, self.blocks = 0, [[]]
+
+        def handle_starttag(self, tag, attrs):
+            self.inside += tag == "article"
+            if tag in ("h1", "p", "article"):
+                self.blocks.append([])
+            if tag == "br":
+                self.blocks[-1].append(" ")
+
+        def handle_endtag(self, tag):
+            self.inside -= tag == "article"
+            if tag in ("h1", "p", "article"):
+                self.blocks.append([])
+
+        def handle_data(self, data):
+            if self.inside:
+                self.blocks[-1].append(data)
+
+    for r in pq.read_table("/root/testdata/sf0.01/pages.parquet").to_pylist():
+        parser = Articles()
+        parser.feed(r["html"] or "")
+        blocks = (re.sub(r"\s+", " ", "".join(b)).strip() for b in parser.blocks)
+        assert html_text.extract(r["html"]) == "\n\n".join(b for b in blocks if b)

@@ -5,7 +5,7 @@ adverts, forms, comments, hidden parts and the like) are pruned by element, role
 class or id.  Every paragraph then passes points for its length and its commas to
 its ancestors, fewer the farther; an ancestor's points are discounted by the share
 of its text inside links.  The best container is kept with those siblings that
-score well or read like text.
+score well or read like text; inside an article, parts that are mostly links go.
 """
 
 from __future__ import annotations
@@ -49,8 +49,9 @@ JUNK_WORDS = frozenset(
     "sidebar sidebars rail menu menus nav navbar navigation navi breadcrumb breadcrumbs crumbs footer foot masthead topbar toolbar "
     "comment comments commentlist disqus reply replies respond discussion share sharing social related recommend recommended "
     "recommendations more widget widgets pager pagination paging search skip hidden outbrain taboola copyright legal disclaimer paywall "
-    "tags taglist byline metadata".split()
+    "tags taglist byline metadata thread threads reactions".split()
 )
+AD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adbox adsense sponsored promo promoted outbrain taboola".split())
 #: Junk words that titles and topics hold as well; they tell only of a part that also looks like no text.
 TOPIC_WORDS = frozenset(
     "more search related legal social copyright notice notices tags promotion respond login alert hidden skip register subscription "
@@ -66,6 +67,8 @@ SCORED = frozenset("p pre td blockquote div section li dd article main".split())
 MIN_PARAGRAPH = 25
 #: A text of more characters, and a share in links below this, is no list of links.
 MIN_TEXT, MAX_LINKS = 80, 0.25
+#: Parts of an article that are no text if so much of them is in links, and of so many.
+LISTS, MOSTLY_LINKS, LEAST_LINKS = frozenset("ul ol dl div section table".split()), 0.5, 3
 #: Elements nested deeper hang, with their texts, from the one at this depth.
 MAX_DEPTH = 200
 _SHARES = (1.0, 0.5, 1 / 6, 1 / 9, 1 / 12)
@@ -113,7 +116,7 @@ def _describe(node: Node, attrs: str) -> None:
 def parse(html: str) -> Node:
     """A tree of nodes whose items are nodes and pieces of text."""
     root = Node("#root", None)
-    at, top, pos = root, html.lower(), 0
+    at, top, pos, endless = root, html.lower(), 0, set()
     if len(top) != len(html):  # lower-casing has moved places
         top = "".join(c.lower() if len(c.lower()) == 1 else c for c in html)
     match = _TAG.search
@@ -153,24 +156,18 @@ def parse(html: str) -> Node:
             _describe(node, attrs)
         at.items.append(node)
         if tag in RAW:
-            end = top.find("</" + tag, pos)
-            if end < 0:
-                return root if tag in ("script", "style", "textarea", "title") else _rest(root, at, html, pos)
+            end = -1 if tag in endless else top.find("</" + tag, pos)
+            if end < 0 and tag in ("script", "style", "textarea", "title"):
+                return root
+            if end < 0:  # never closed: an empty part, and the page goes on
+                endless.add(tag)
+                continue
             close = html.find(">", end)
             pos = len(html) if close < 0 else close + 1
         elif tag not in VOID and node.depth < MAX_DEPTH:
             at = node
 
 
-def _rest(root: Node, at: Node, html: str, pos: int) -> Node:
-    rest = parse(html[pos:])
-    for item in rest.items:
-        if isinstance(item, Node):
-            item.parent = at
-        at.items.append(item)
-    return root
-
-
 def _close(at: Node, tags: tuple, root: Node) -> Node:
     """Close the innermost open element of ``tags``, up to its scope."""
     node = at
@@ -207,9 +204,15 @@ def _junk_words(node: Node) -> bool:
     if node.tag in HEADINGS or (node.tag == "section" and not ids <= JUNK_WORDS):
         ids = frozenset()
     found = (node.words | ids) & JUNK_WORDS
+    if node.tag not in BLOCK:  # part of a sentence, unless it is an advert
+        return bool(found & AD_WORDS)
     return bool(found - TOPIC_WORDS) or (bool(found) and node.tag not in HEADINGS and _no_text(node))
 
 
+def _has_heading(node: Node) -> bool:
+    return node.tag in HEADINGS or any(_has_heading(item) for item in node.items if isinstance(item, Node))
+
+
 def _prune(node: Node, in_article: bool) -> bool:
     """Mark what isn't the article; true if the part holds an article, main or h1."""
     holds = node.tag in ("article", "main", "h1")
@@ -222,6 +225,9 @@ def _prune(node: Node, in_article: bool) -> bool:
         return holds
     if node.tag == "header":
         node.junk |= not in_article
+        for item in node.items:  # of an article's own header headings stay, and what reads like text
+            if isinstance(item, Node) and item.tag in BLOCK and not _has_heading(item):
+                item.junk |= _no_text(item)
     elif (node.words or node.ids) and not holds and not (node.tag in "h1 h2 h3 p span a b i em strong".split() and (node.words | node.ids) & GOOD_WORDS):
         node.junk |= _junk_words(node) or bool((node.words | node.ids) & HEADER_WORDS and not in_article and node.tag not in HEADINGS)
     return holds and not node.junk
@@ -299,6 +305,7 @@ def _keep(node: Node) -> list[Node]:
     while at is not None and at.tag not in ("article", "main"):
         at = at.parent
     if at is not None:
+        _drop_link_lists(at)
         return [at]
     if best.tag in ("body", "html") or best.parent is None:
         return [best]
@@ -318,6 +325,16 @@ def _keep(node: Node) -> list[Node]:
     return kept
 
 
+def _drop_link_lists(node: Node) -> None:
+    """Inside an article, lists and sections that are mostly links score nothing, so they go."""
+    for item in node.items:
+        if isinstance(item, Node) and not item.junk:
+            if item.tag in LISTS and _density(item) >= MOSTLY_LINKS and sum(n.tag == "a" for n in _all(item)) >= LEAST_LINKS:
+                item.junk = True
+            else:
+                _drop_link_lists(item)
+
+
 def _all(node: Node):
     for item in node.items:
         if isinstance(item, Node) and not item.junk:
