@@ -2,8 +2,12 @@
 
 Each stage takes (spark, docs, sf_dir); its result is written as Parquet and read
 again as the next stage's ``docs``.  All but the last return the columns of
-``documents``; the last returns the pieces of the packed sequences.  Models are
-fitted on the labelled documents of ``sf_dir``, not on what a stage before kept.
+``documents``; the last returns the pieces of the packed sequences with their token
+ids.  Models are fitted on the labelled documents of ``sf_dir``, not on what a stage
+before kept.
+
+In all stages a null text is empty, repeated rows are judged each (near-dedup keeps one
+of them), columns of any name pass through, and an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -18,23 +22,28 @@ ORACLE_SQL = None
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the additive model accepts (a score of 0.5 or more)."""
+    """Documents that the additive model accepts: a score of 0.5 or more.  Empty texts have
+    the score of no words; without labels the score is 0.5, so all stay."""
     return docs.where(quality_gam.accepted(F.col("text"), quality_gam.train(spark, sf_dir)))
 
 
 def quality_rules_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that pass the base rules and the boosted trees."""
+    """Documents that pass the base rules and the boosted trees.  Empty texts have no words,
+    so they go; without labels the base rules alone decide."""
     return docs.where(quality_rules.kept(F.col("text"), quality_rules.train(spark, sf_dir)))
 
 
 def near_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each class of near copies."""
+    """One document of each class of near copies: of ties the least doc_id (null first),
+    then the least digest of its text."""
     return near_dedup.keep_one(docs)
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of sequences of at most 1024 tokens at the sources' proportions."""
-    return packing.pack(docs, with_ids=False).drop("source")
+    """The pieces of sequences of at most 1024 tokens at the sources' proportions, with the
+    ids (little-endian, four bytes each) that a trainer reads.  Empty texts have the end
+    token alone; a null source is a source of its own."""
+    return packing.pack(docs).drop("source")
 
 
 STAGES = [
