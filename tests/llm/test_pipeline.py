@@ -18,7 +18,7 @@ def test_stages_keep_columns_and_take_effect(spark, sf_dir):
 
 def test_run_is_the_stages(spark, sf_dir):
     out = corpus_pipeline.run(spark, sf_dir)
-    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"] and out.count() > 0
+    assert out.columns == ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"] and out.count() > 0
 
 
 def test_entry_lists_all_ten():

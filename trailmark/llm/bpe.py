@@ -21,11 +21,11 @@ import pyarrow.compute as pc
 
 from .textkernel import first_bytes, prefix_hash, span_hash, text_bytes
 
-#: Most pieces kept per worker (about 110 bytes each); beyond it those used least are dropped.
-MEMO_PIECES = 1_000_000
-MEMO_BITS = 21
+#: Most pieces kept per worker (about 90 bytes each); beyond it those used least are dropped.
+MEMO_PIECES = 600_000
+MEMO_BITS = 20
 #: Bytes of text encoded at once: each distinct piece among them is looked up once.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 20
 #: ASCII that Python's ``isspace`` takes for white space.
 _SPACE = np.zeros(256, bool)
 _SPACE[[*range(9, 14), *range(28, 33)]] = True

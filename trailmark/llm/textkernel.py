@@ -35,7 +35,7 @@ def _pow(name: str, base: np.uint64, n: int) -> np.ndarray:
         steps = np.full(size, base, np.uint64)
         steps[0] = 1
         have = np.cumprod(steps, dtype=np.uint64)
-        if size > 1 << 24:  # one very long text: don't keep its tables
+        if size > 1 << 22:  # one very long text: don't keep its tables
             return have
         _powers[name] = have
     return have
