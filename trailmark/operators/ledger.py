@@ -11,20 +11,24 @@ from ..functions.columns import risk_tier, wilson_upper
 def task_cost(calls: DataFrame, *keys: str) -> DataFrame:
     """Cost, calls, changed calls and removed characters of each task (and method)."""
     named = calls.where(F.col("task_id").isNotNull() & ~F.col("task_id").cast("string").rlike("^(UNKNOWN|NO_)"))
-    return named.groupBy(*(keys or ("task_id", "method"))).agg(
+    keys = keys or ("task_id", "method")
+    if keys[0] == "task_id":
+        named = named.repartition("task_id")  # calls of a task are few: later windows by task need no shuffle again
+    return named.groupBy(*keys).agg(
         F.sum("cost").alias("cost"), F.count(F.lit(1)).alias("calls"), F.count_if("changed").alias("changed_calls"),
         F.sum(F.when(F.col("changed"), F.col("chars_removed")).otherwise(0)).alias("chars_removed"),
     )
 
 
-def paired(costs: DataFrame, baseline: str) -> DataFrame:
+def paired(costs: DataFrame, baseline: str, *keep: str) -> DataFrame:
     """Each task's candidate costs beside its baseline cost, and the saving in percent.
 
-    An aggregate with a conditional sum finds the baseline in the same shuffle.
+    A window by task finds the baseline; ``task_cost`` has dealt the calls by task, so it
+    costs no shuffle of its own.
     """
     base = F.max(F.when(F.col("method") == baseline, F.col("cost"))).over(Window.partitionBy("task_id"))
     both = costs.withColumn("base", base).where((F.col("method") != baseline) & (F.col("base") > 0))
-    return both.select("task_id", "method", "base", "cost", (100 * (F.col("base") - F.col("cost")) / F.col("base")).alias("saving"))
+    return both.select("task_id", "method", "base", "cost", (100 * (F.col("base") - F.col("cost")) / F.col("base")).alias("saving"), *keep)
 
 
 def outcome_counts(grades: DataFrame, *keys: str) -> DataFrame:
@@ -76,7 +80,7 @@ def decomposition(calls: DataFrame, weights: tuple) -> DataFrame:
     parts = ("input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens")
     sums = calls.groupBy("method").agg(*((F.sum(p) * w).alias(p) for p, w in zip(parts, weights, strict=True)))
     total = sum((F.col(p) for p in parts), F.lit(0.0))
-    return sums.select("method", *((F.col(p) / total).alias(p.replace("_tokens", "_share")) for p in parts))
+    return sums.select("method", *(F.try_divide(F.col(p), total).alias(p.replace("_tokens", "_share")) for p in parts))
 
 
 def cache_ratio(calls: DataFrame) -> DataFrame:
@@ -151,3 +155,60 @@ def split_leaks(split: DataFrame, unit: str, part: str) -> DataFrame:
 
 def assignment_conflicts(df: DataFrame, key: str, arm: str) -> DataFrame:
     return df.groupBy(key).agg(F.count_distinct(arm).alias("arms")).where("arms > 1")
+
+
+def index_tertiles(df: DataFrame, group: str, value: str) -> DataFrame:
+    """The values at places n // 3 and 2n // 3 (from 0) of each group's sorted values."""
+    k = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
+    r = df.where(F.col(value).isNotNull()).select(group, value, k.alias("k"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
+    at = lambda i: F.max(F.when(F.col("k") == F.floor(F.col("n") * i / 3), F.col(value)))
+    return r.groupBy(group).agg(at(1).alias("low"), at(2).alias("high"))
+
+
+def reduction_totals(pairs: DataFrame) -> DataFrame:
+    """Each method's saving weighted by bill, and the mean and median over tasks."""
+    bill = F.try_divide(100 * (F.sum("base") - F.sum("cost")), F.sum("base"))
+    return pairs.groupBy("method").agg(bill.alias("bill_weighted"), F.avg("saving").alias("task_mean"), F.percentile("saving", F.lit(0.5)).alias("task_median"))
+
+
+def creation_share(calls: DataFrame, least: float) -> DataFrame:
+    """Cache creation's share of a task's prompt tokens, where these are more than ``least``."""
+    total = F.sum(F.col("input_tokens") + F.col("cache_read_tokens") + F.col("cache_creation_tokens"))
+    s = calls.groupBy("task_id", "method").agg(F.sum("cache_creation_tokens").alias("cc"), total.alias("total"))
+    return s.where(F.col("total") > least).select("task_id", "method", (F.col("cc") / F.col("total")).alias("share"))
+
+
+def dose_bins(pairs: DataFrame, dose: str, cuts: tuple[float, ...]) -> DataFrame:
+    """Savings by method and half-open bin of the dose: below the first cut is bin 0."""
+    bin_ = sum(((F.col(dose) >= c).cast("int") for c in cuts), F.lit(0))
+    return pairs.groupBy(bin_.alias("bin"), "method").agg(F.count(F.lit(1)).alias("n"), F.percentile("saving", F.lit(0.5)).alias("median_saving"), F.avg("saving").alias("mean_saving"))
+
+
+def decision_events(calls: DataFrame, first: Column) -> DataFrame:
+    """Calls by what happened and by what their counterfactual is: only a task's pair tells
+    it for its first call and where nothing fired."""
+    event = F.when(F.col("changed"), "FIRED").otherwise("NO_OP_ELIGIBLE")
+    told = F.when(first | ~F.col("changed"), "PAIRED_TASK_ONLY").otherwise("UNIDENTIFIED")
+    return calls.groupBy("method", event.alias("event"), told.alias("counterfactual")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def inventory(ledgers: list[DataFrame], task: str) -> DataFrame:
+    """What the methods' ledgers, put together, hold: calls, unknown ones, tasks, raw tokens,
+    and the mean prompt of the calls that have one."""
+    calls = ledgers[0]
+    for other in ledgers[1:]:
+        calls = calls.unionByName(other)
+    unknown = F.col(task).isNull() | F.col(task).rlike("^(UNKNOWN|NO_)")
+    prompt = F.col("input_tokens") + F.col("cache_read_tokens")
+    return calls.groupBy("method").agg(
+        F.count(F.lit(1)).alias("calls"), F.count_if(unknown).alias("unknown_calls"), F.count_distinct(F.when(~unknown, F.col(task))).alias("tasks"),
+        F.sum(prompt + F.col("cache_creation_tokens")).alias("input_side"), F.sum("output_tokens").alias("output"), F.avg(F.when(prompt > 0, prompt)).alias("mean_prompt"),
+    )
+
+
+def mechanism(calls: DataFrame, arm: str) -> DataFrame:
+    """Both arms' means of each token component, from one aggregate."""
+    parts = ("input_tokens", "cache_read_tokens", "cache_creation_tokens", "output_tokens")
+    sums = calls.agg(*(F.avg(F.when(F.col(arm) == k, F.col(p))).alias(f"{p}_{int(k)}") for p in parts for k in (True, False)))
+    rows = F.array(*(F.struct(F.lit(p).alias("component"), F.col(f"{p}_1").alias("mean_1"), F.col(f"{p}_0").alias("mean_0")) for p in parts))
+    return sums.select(F.explode(rows).alias("r")).select("r.*", (F.col("r.mean_1") - F.col("r.mean_0")).alias("diff"))

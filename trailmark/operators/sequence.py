@@ -195,3 +195,17 @@ def trace_features(df: DataFrame, key: str = "trace_id", order: str = "event_ind
         F.coalesce(F.sum((F.col("_b") != F.col(kind)).cast("long")), F.lit(0)).alias("switches"), (F.count(args) - F.count_distinct(args)).alias("duplicate_calls"),
         F.count_if(is_("TOOL_ERROR") & (F.col("_c") > 1)).alias("retries"),
     )
+
+
+def recurrence_by_kind(df: DataFrame, key: str, order: str, entity: str, is_plan: Column, plans: int = 2, outputs: int = 3) -> DataFrame:
+    """Does the entity stand in the last ``plans`` plans before the row, or in the last
+    ``outputs`` other rows?
+
+    Each row's own number among plans and among outputs places it in a window of a few rows."""
+    w = _w(key, order)
+    marked = df.withColumn("_p", is_plan)
+    before = w.rowsBetween(Window.unboundedPreceding, -1)
+    n = marked.withColumns({"_np": F.coalesce(F.count_if("_p").over(before), F.lit(0)), "_no": F.coalesce(F.count_if(~F.col("_p")).over(before), F.lit(0))})
+    last = lambda own, count, k: F.max(F.when(own, F.col(count))).over(Window.partitionBy(key, entity).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)) >= F.col(count) - k
+    seen_plan, seen_output = last(F.col("_p"), "_np", plans), last(~F.col("_p"), "_no", outputs)
+    return n.select(key, order, F.coalesce(seen_plan & F.col(entity).isNotNull(), F.lit(False)).alias("in_plans"), F.coalesce(seen_output & F.col(entity).isNotNull(), F.lit(False)).alias("in_outputs"))

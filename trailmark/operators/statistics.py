@@ -31,7 +31,7 @@ def newcombe(df: DataFrame, success: Column, margin: float) -> DataFrame:
     """Newcombe interval of the difference in success shares, and non-inferiority."""
     c = df.agg(F.count_if(success & (F.col("a") == 1)).alias("k1"), F.count_if(F.col("a") == 1).alias("n1"), F.count_if(success & (F.col("a") == 0)).alias("k0"), F.count_if(F.col("a") == 0).alias("n0"))
     k1, n1, k0, n0 = (F.col(x) for x in ("k1", "n1", "k0", "n0"))
-    p1, p0 = k1 / n1, k0 / n0
+    p1, p0 = F.try_divide(k1, n1), F.try_divide(k0, n0)  # null without an arm
     l1, u1, l0, u0 = (wilson(k, n, Z_TWO_SIDED, up) for k, n in ((k1, n1), (k0, n0)) for up in (False, True))
     d = p1 - p0
     low = d - F.sqrt((p1 - l1) ** 2 + (u0 - p0) ** 2)
@@ -44,7 +44,7 @@ def hajek(df: DataFrame, policies: dict[str, Column], propensity: float = 0.5) -
     outs = []
     for name, arm in policies.items():
         w = F.when(F.col("a") == arm, 1 / propensity).otherwise(0.0)
-        outs.append(F.struct(F.lit(name).alias("policy"), (F.sum(w * F.col("y")) / F.sum(w)).alias("hajek"), (F.sum(w * F.col("y")) / F.count(F.lit(1))).alias("ipw")))
+        outs.append(F.struct(F.lit(name).alias("policy"), F.try_divide(F.sum(w * F.col("y")), F.sum(w)).alias("hajek"), F.try_divide(F.sum(w * F.col("y")), F.count(F.lit(1))).alias("ipw")))
     return df.agg(F.array(*outs).alias("p")).select(F.explode("p").alias("p")).select("p.*")
 
 
@@ -91,7 +91,7 @@ def spearman(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.row_number().over(Window.orderBy(x, tie)).alias("rx"), F.row_number().over(Window.orderBy(y, tie)).alias("ry"))
     n = F.count(F.lit(1)).cast("double")
     d = (F.col("rx") - F.col("ry")).cast("double")
-    return r.agg((1 - 6 * F.sum(d * d) / (n * (n * n - 1))).alias("rho"), F.count(F.lit(1)).alias("n"))
+    return r.agg((1 - F.try_divide(6 * F.sum(d * d), n * (n * n - 1))).alias("rho"), F.count(F.lit(1)).alias("n"))
 
 
 def spearman_within(df: DataFrame, group: str, x: str, y: str) -> DataFrame:
@@ -114,7 +114,8 @@ def benjamini_hochberg(df: DataFrame, name: str, p: str) -> DataFrame:
 
 
 def moments(df: DataFrame, *by: str, value: str = "y") -> DataFrame:
-    return df.groupBy(*by).agg(F.kurtosis(value).alias("kurtosis"), (F.max(value) / F.percentile(value, F.lit(0.5))).alias("max_over_median"), F.stddev_pop(value).alias("sd"), F.stddev_samp(value).alias("sd_sample"))
+    """Shape of a value: null where a group's median, mean or spread is zero."""
+    return df.groupBy(*by).agg(F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"), F.try_divide(F.max(value), F.percentile(value, F.lit(0.5))).alias("max_over_median"), F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"), F.stddev_pop(value).alias("sd"), F.stddev_samp(value).alias("sd_sample"))
 
 
 def auroc(df: DataFrame, score: str, label: Column) -> DataFrame:
@@ -190,3 +191,29 @@ def ols(df: DataFrame, y: str, x: list[str], cluster: str) -> DataFrame:
     clustered = se(inverse @ full("m") @ inverse * adjust)
     rows = pd.DataFrame({"term": names, "coef": beta, "se": classical, "se_hc0": hc0, "se_cluster": clustered, "n": n})
     return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, se_hc0 double, se_cluster double, n long")
+
+
+def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Correlation of each two columns, and which is the greatest off the diagonal."""
+    pairs = [(a, b) for i, a in enumerate(columns) for b in columns[i + 1 :]]
+    one = df.agg(*(F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs))
+    most = F.greatest(*(F.col(f"`{a}|{b}`") for a, b in pairs)) if len(pairs) > 1 else F.col(f"`{pairs[0][0]}|{pairs[0][1]}`")
+    rows = F.array(*(F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r"), (F.col(f"`{a}|{b}`") == most).alias("most")) for a, b in pairs))
+    return one.select(F.explode(rows).alias("p")).select("p.*")
+
+
+def robust_means(df: DataFrame, tail: float) -> DataFrame:
+    """Each arm's mean with both tails pulled in to their quantiles or cut off, the mean of
+    log(1 + y), and the median."""
+    q = df.agg(F.percentile("y", F.lit(tail)).alias("lo"), F.percentile("y", F.lit(1 - tail)).alias("hi"))
+    y, lo, hi = F.col("y"), F.col("lo"), F.col("hi")
+    return df.join(F.broadcast(q)).groupBy("a").agg(F.avg(F.least(F.greatest(y, lo), hi)).alias("winsorised"), F.avg(F.when(y.between(lo, hi), y)).alias("trimmed"), F.avg(F.log1p(y)).alias("log_mean"), F.percentile(y, F.lit(0.5)).alias("median"))
+
+
+def in_sample_dr(df: DataFrame, propensity: float = 0.5) -> DataFrame:
+    """Doubly robust values of both arms with means of the strata they are scored in."""
+    y = F.col("y")
+    mu = df.groupBy("stratum").agg(*(F.avg(F.when(F.col("a") == k, y)).alias(f"m{k}") for k in (0, 1)))
+    s = df.join(F.broadcast(mu), "stratum").where("m0 is not null and m1 is not null")
+    value = lambda k: F.avg(F.col(f"m{k}") + F.when(F.col("a") == k, (y - F.col(f"m{k}")) / propensity).otherwise(0.0))
+    return s.agg(value(1).alias("value_1"), value(0).alias("value_0"), F.count(F.lit(1)).alias("n"))
