@@ -136,11 +136,13 @@ def test_least_squares_against_numpy(spark):
     beta, inv = np.linalg.lstsq(m, y, rcond=None)[0], np.linalg.inv(m.T @ m)
     e = y - m @ beta
     hc0 = np.sqrt(np.diag(inv @ (m.T * e**2) @ m @ inv))
+    hc3 = np.sqrt(np.diag(inv @ (m.T * (e / (1 - np.einsum("ij,jk,ik->i", m, inv, m))) ** 2) @ m @ inv))
     s = np.stack([(m[c == k] * e[c == k, None]).sum(0) for k in np.unique(c)])
     g = len(np.unique(c))
     cluster = np.sqrt(np.diag(inv @ s.T @ s @ inv * g / (g - 1) * 199 / 197))
     for i, t in enumerate(("intercept", "x", "z")):
         assert (got[t]["coef"], got[t]["se_hc0"], got[t]["se_cluster"]) == pytest.approx((beta[i], hc0[i], cluster[i]))
+        assert got[t]["se_hc3"] == pytest.approx(hc3[i])
 
 
 def test_blocks_are_balanced_and_fixed():
@@ -163,7 +165,8 @@ def test_stream_restarts_and_equals_its_batch_twin(spark, tmp_path):
         q.stop()
 
     step(rows[:25])
-    step(rows[25:])  # a new query on the same checkpoint
+    step(rows[25:40])  # a new query on the same checkpoint
+    step(rows[40:])
     events = spark.read.parquet(f"{tmp_path}/out/events")
     want, _ = trial.batch_twin(spark.createDataFrame(rows, kind), plan)
     key = lambda r: (r["task_id"], r["ordinal"], r["event_id"], r["intervene"])

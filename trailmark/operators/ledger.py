@@ -39,9 +39,11 @@ def outcome_counts(grades: DataFrame, *keys: str) -> DataFrame:
 
 
 def frontier(savings: DataFrame, outcomes: DataFrame) -> DataFrame:
-    """Methods by median saving, with risk tier and verdict; ``outcomes`` is one row a method."""
+    """Methods by median saving, with risk tier and verdict; ``outcomes`` is one row a
+    method, or a single row (without a method) that holds for all."""
     s = savings.groupBy("method").agg(F.percentile("saving", F.lit(0.5)).alias("median_saving"), F.avg("saving").alias("mean_saving"), F.count(F.lit(1)).alias("pairs"))
-    joined = s.join(outcomes, "method")
+    outcomes = outcomes.select(*(c for c in ("method", "regressions", "loss_ub") if c in outcomes.columns))
+    joined = s.join(outcomes, "method") if "method" in outcomes.columns else s.join(F.broadcast(outcomes))
     verdict = F.when((F.col("median_saving") > 2) & (F.col("loss_ub") <= 0.10), "win").when(F.col("median_saving") > 0, "marginal").otherwise("no saving")
     rank = F.row_number().over(Window.orderBy(F.desc("median_saving"), "method"))  # a row for each method
     return joined.select("method", "pairs", "median_saving", "mean_saving", "regressions", "loss_ub", risk_tier(F.col("regressions"), F.col("loss_ub")).alias("tier"), verdict.alias("verdict"), rank.alias("rank"))

@@ -134,15 +134,15 @@ def uniform(*columns: Column) -> Column:
 def cluster_bootstrap(df: DataFrame, draws: int, seed: int = 0) -> DataFrame:
     """Percentile interval of the difference in means, resampling clusters.
 
-    Each cluster is summed once; a draw weights clusters by Poisson(1) counts from
-    hashes, so no row is copied and draws run in parallel.
+    Each cluster is summed once; a draw takes as many clusters as there are, with
+    replacement, by the hashes of its slots, so no row is copied and draws run in parallel.
     """
     g = df.groupBy("cluster").agg(*(f(F.when(F.col("a") == k, F.col("y"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("s", F.sum), ("n", F.count))))
-    u = uniform(F.lit(seed), F.col("draw"), F.col("cluster"))
-    cut = np.cumsum([np.exp(-1) / float(np.prod(np.arange(1, k + 1))) for k in range(8)])
-    times = sum(((u >= float(c)).cast("int") for c in cut), F.lit(0))
-    drawn = g.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).withColumn("k", times)
-    s = drawn.groupBy("draw").agg(*(F.sum(F.col("k") * F.coalesce(f"{n}{k}", F.lit(0))).alias(f"{n}{k}") for k in (0, 1) for n in "sn")).where("n0 > 0 and n1 > 0")
+    numbered = g.withColumn("slot", F.row_number().over(Window.orderBy("cluster")) - 1)  # a row for each cluster
+    size = numbered.agg(F.count(F.lit(1)).alias("clusters"))
+    slots = numbered.select("slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).join(F.broadcast(size))
+    picks = slots.select("draw", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("slot")) * F.col("clusters")).cast("int").alias("slot")).groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("k"))
+    s = picks.join(numbered, "slot").groupBy("draw").agg(*(F.sum(F.col("k") * F.coalesce(f"{n}{k}", F.lit(0))).alias(f"{n}{k}") for k in (0, 1) for n in "sn")).where("n0 > 0 and n1 > 0")
     diff = F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")
     return s.select(diff.alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("draws"))
 
@@ -161,7 +161,7 @@ def block_permutation(df: DataFrame, block: str, draws: int, seed: int = 0) -> D
 
 
 def ols(df: DataFrame, y: str, x: list[str], cluster: str) -> DataFrame:
-    """Coefficients with classical, HC0 and cluster-robust standard errors.
+    """Coefficients with classical, HC0, HC3 and cluster-robust standard errors.
 
     One pass adds up the Gram matrix by cluster; a second adds up scores.  Both are a
     few numbers for each cluster, so the rows never leave their tasks.
@@ -173,24 +173,26 @@ def ols(df: DataFrame, y: str, x: list[str], cluster: str) -> DataFrame:
     sums = [F.sum(F.col(a) * F.col(b)).alias(f"{a}_{b}") for i, a in enumerate(cols) for b in cols[i:]] + [F.sum(F.col(a) * F.col("y")).alias(f"{a}_y") for a in cols]
     g = design.agg(*sums, F.count(F.lit(1)).alias("n")).first().asDict()  # one row
     if not g["n"]:
-        return df.sparkSession.createDataFrame([], "term string, coef double, se double, se_hc0 double, se_cluster double, n long")
+        return df.sparkSession.createDataFrame([], "term string, coef double, se double, se_hc0 double, se_hc3 double, se_cluster double, n long")
     gram = np.array([[g[f"x{min(i, j)}_x{max(i, j)}"] for j in range(k)] for i in range(k)])
     beta = np.linalg.pinv(gram) @ np.array([g[f"{a}_y"] for a in cols])
     inverse = np.linalg.pinv(gram)
     fitted = sum((F.col(c) * float(b) for c, b in zip(cols, beta, strict=True)), F.lit(0.0))
-    r = design.withColumn("e", F.col("y") - fitted)
-    e = F.col("e")
-    meat = r.groupBy("c").agg(*(F.sum(e * F.col(a)).alias(f"s{i}") for i, a in enumerate(cols)), *(F.sum(e * e * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)), F.sum(e * e).alias("ee"))
-    total = meat.agg(*(F.sum(f"h{i}_{j}").alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), F.sum("ee").alias("ee"), F.count(F.lit(1)).alias("clusters")).first().asDict()
+    leverage = sum((F.col(a) * F.col(b) * float(inverse[i, j]) for i, a in enumerate(cols) for j, b in enumerate(cols)), F.lit(0.0))
+    r = design.withColumns({"e": F.col("y") - fitted, "d": F.greatest(1 - leverage, F.lit(1e-12))})
+    e, e3 = F.col("e"), F.col("e") / F.col("d")
+    meat = r.groupBy("c").agg(*(F.sum(e * F.col(a)).alias(f"s{i}") for i, a in enumerate(cols)), *(F.sum(e * e * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"h{i}_{j}") for i in range(k) for j in range(i, k)), *(F.sum(e3 * e3 * F.col(f"x{i}") * F.col(f"x{j}")).alias(f"q{i}_{j}") for i in range(k) for j in range(i, k)), F.sum(e * e).alias("ee"))
+    total = meat.agg(*(F.sum(f"{p}{i}_{j}").alias(f"{p}{i}_{j}") for p in "hq" for i in range(k) for j in range(i, k)), *(F.sum(F.col(f"s{i}") * F.col(f"s{j}")).alias(f"m{i}_{j}") for i in range(k) for j in range(i, k)), F.sum("ee").alias("ee"), F.count(F.lit(1)).alias("clusters")).first().asDict()
     full = lambda p: np.array([[total[f"{p}{min(i, j)}_{max(i, j)}"] for j in range(k)] for i in range(k)])
     n, m = g["n"], total["clusters"]
     se = lambda v: np.sqrt(np.maximum(np.diag(v), 0))
     classical = se(inverse * total["ee"] / max(n - k, 1))
     hc0 = se(inverse @ full("h") @ inverse)
+    hc3 = se(inverse @ full("q") @ inverse)
     adjust = m / max(m - 1, 1) * (n - 1) / max(n - k, 1)
     clustered = se(inverse @ full("m") @ inverse * adjust)
-    rows = pd.DataFrame({"term": names, "coef": beta, "se": classical, "se_hc0": hc0, "se_cluster": clustered, "n": n})
-    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, se_hc0 double, se_cluster double, n long")
+    rows = pd.DataFrame({"term": names, "coef": beta, "se": classical, "se_hc0": hc0, "se_hc3": hc3, "se_cluster": clustered, "n": n})
+    return df.sparkSession.createDataFrame(rows, "term string, coef double, se double, se_hc0 double, se_hc3 double, se_cluster double, n long")
 
 
 def correlations(df: DataFrame, columns: list[str]) -> DataFrame:

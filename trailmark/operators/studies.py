@@ -49,11 +49,12 @@ def held_out_threshold(pairs: DataFrame, group: str, signal: str, grid: tuple[fl
     return best.select(group, F.col("best.threshold").alias("threshold"), F.col("best.here").alias("policy"), "keep", "always")
 
 
-def feasible_oracle(costs: DataFrame, solved: Column, tolerance: float) -> DataFrame:
-    """Cheapest solved method of each task, if it saves more than the tolerance."""
+def feasible_oracle(costs: DataFrame, solved: Column, tolerance: float, baseline: str) -> DataFrame:
+    """Cheapest solved method of each task, if it saves more than the tolerance; tasks
+    without a solved method keep the baseline."""
     best = costs.where(solved).groupBy("task_id").agg(F.min(F.struct("cost", "method")).alias("b"))
-    base = costs.where("method = 'N'").select("task_id", F.col("cost").alias("base"))
-    return base.join(best, "task_id").select("task_id", "base", F.when(F.col("b.cost") < (1 - tolerance) * F.col("base"), F.col("b.method")).otherwise("N").alias("method"), F.least("base", F.when(F.col("b.cost") < (1 - tolerance) * F.col("base"), F.col("b.cost")).otherwise(F.col("base"))).alias("cost"))
+    base = costs.where(F.col("method") == baseline).select("task_id", F.col("cost").alias("base"))
+    return base.join(best, "task_id", "left").select("task_id", "base", F.when(F.col("b.cost") < (1 - tolerance) * F.col("base"), F.col("b.method")).otherwise(baseline).alias("method"), F.least("base", F.when(F.col("b.cost") < (1 - tolerance) * F.col("base"), F.col("b.cost")).otherwise(F.col("base"))).alias("cost"))
 
 
 def calibration(df: DataFrame, predicted: str, actual: str, tie: str, bins: int = 3) -> DataFrame:

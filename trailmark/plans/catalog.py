@@ -54,7 +54,8 @@ L = """WITH l AS (SELECT l_orderkey AS task_id, l_returnflag AS method, row_numb
  l_tax * 1000 AS cache_creation_tokens, l_discount * 100 AS output_tokens, l_linestatus = 'F' AS changed, l_partkey AS chars_removed, l_suppkey AS repo_id,
  l_quantity + 0.1 * l_extendedprice + 1.25 * l_tax * 1000 + 5 * l_discount * 100 AS cost FROM lineitem),
  t AS (SELECT task_id, method, sum(cost) AS cost, count(*) AS calls, count(*) FILTER (changed) AS changed_calls, sum(CASE WHEN changed THEN chars_removed ELSE 0 END) AS chars_removed FROM l GROUP BY ALL),
- p AS (SELECT m.task_id, m.method, b.cost AS base, m.cost, 100 * (b.cost - m.cost) / b.cost AS saving FROM t m JOIN t b ON m.task_id = b.task_id AND b.method = 'N' WHERE m.method <> 'N' AND b.cost > 0)"""
+ w0 AS (SELECT *, max(cost) FILTER (method = 'N') OVER (PARTITION BY task_id) AS base FROM t),
+ p AS (SELECT task_id, method, base, cost, 100 * (base - cost) / base AS saving FROM w0 WHERE method <> 'N' AND base > 0)"""
 G = """WITH g AS (SELECT l.doc_id AS task_id, d.source AS cluster, d.lang, l.quality = 1 AS baseline, l.toxic = 0 AS candidate, d.n_chars::DOUBLE AS y,
  CASE WHEN l.quality = 1 THEN 'HIGH' ELSE 'MIXED' END AS stratum, l.toxic::INT AS a, (l.doc_id % 97) / 97.0 AS moderator FROM labels l JOIN documents d USING (doc_id))"""
 V = """WITH d0 AS (SELECT doc_id AS unit, lang, r.rater FROM documents, (VALUES ('r1'), ('r2'), ('r3')) r(rater)),
@@ -96,10 +97,7 @@ _FRONTIER = (
 @query("pareto_frontier", _FRONTIER)
 def _(spark, d):
     """Methods by median saving with loss bound, risk tier and verdict."""
-    outcomes = ledger.outcome_counts(tables.grades(spark, d))
-    pairs = _pairs(spark, d)
-    each = pairs.select("method").distinct().join(F.broadcast(outcomes))  # one row of outcomes
-    return ledger.frontier(pairs, each)
+    return ledger.frontier(_pairs(spark, d), ledger.outcome_counts(tables.grades(spark, d)))
 
 
 @query("regression_events", G + "SELECT task_id, cluster, CASE WHEN baseline AND NOT candidate THEN 'REGRESSION' WHEN NOT baseline AND candidate THEN 'IMPROVEMENT' WHEN baseline THEN 'both_pass' ELSE 'both_fail' END AS verdict FROM g")
@@ -340,7 +338,7 @@ def _(spark, d):
 
 @query("post_edit_gap", E + ", x AS (SELECT *, max(event_index) FILTER (etype = 'EDIT') OVER (PARTITION BY trace_id) AS l FROM e) SELECT trace_id, max(l) AS last_edit, count(*) FILTER (etype = 'TEST' AND event_index > l)::BIGINT AS tests_after, min(event_index - l) FILTER (etype = 'TEST' AND event_index > l) AS gap FROM x GROUP BY 1")
 def _(spark, d):
-    """Tests after the last edit."""
+    """Tests after the last edit."""
     kind = F.col("etype")
     return sequence.post_edit_gap(tables.events(spark, d), "trace_id", "event_index", kind == "EDIT", kind == "TEST").withColumn("tests_after", F.coalesce("tests_after", F.lit(0)))
 
@@ -402,7 +400,7 @@ def _(spark, d):
 # --- votes ------------------------------------------------------------------------
 @query("raw_agreement", V + ", u AS (SELECT unit, count(label) AS m, count(DISTINCT label) AS d FROM v GROUP BY 1) SELECT count(*)::BIGINT AS units, count(*) FILTER (d = 1)::BIGINT AS agreed, round(count(*) FILTER (d = 1) / count(*), 4) AS agreement FROM u WHERE m >= 2")
 def _(spark, d):
-    """Share of units where all raters agree."""
+    """Share of units where all raters agree."""
     return agreement.raw_agreement(tables.votes(spark, d))
 
 
@@ -577,7 +575,7 @@ def _(spark, d):
 
 @query("spearman_within", G + ", r AS (SELECT cluster, rank() OVER (PARTITION BY cluster ORDER BY y) + (count(*) OVER (PARTITION BY cluster, y) - 1) / 2 AS rx, rank() OVER (PARTITION BY cluster ORDER BY moderator) + (count(*) OVER (PARTITION BY cluster, moderator) - 1) / 2 AS ry FROM g) SELECT cluster, round(corr(rx, ry), 4) AS rho, count(*)::BIGINT AS n FROM r GROUP BY 1")
 def _(spark, d):
-    """Spearman correlation inside each cluster."""
+    """Spearman correlation inside each cluster."""
     return statistics.spearman_within(tables.trial(spark, d), "cluster", "y", "moderator")
 
 
@@ -588,9 +586,9 @@ def _(spark, d):
     return statistics.benjamini_hochberg(p, "cluster", "p")
 
 
-@query("moments", G + "SELECT stratum, round(kurtosis_pop(y), 4) AS kurtosis, round(max(y) / median(y), 4) AS max_over_median, round(stddev_pop(y), 4) AS sd, round(stddev_samp(y), 4) AS sd_sample FROM g GROUP BY 1")
+@query("moments", G + "SELECT stratum, round(sum(pow(y - m, 3)) / count(*) / pow(stddev_pop(y), 3), 4) AS skewness, round(kurtosis_pop(y), 4) AS kurtosis, round(stddev_samp(y) / avg(y), 4) AS cv, round(max(y) / median(y), 4) AS max_over_median, round(stddev_pop(y), 4) AS sd, round(stddev_samp(y), 4) AS sd_sample FROM (SELECT *, avg(y) OVER (PARTITION BY stratum) AS m FROM g) GROUP BY 1")
 def _(spark, d):
-    """Tails of the outcome."""
+    """A5: tails of the outcome."""
     return statistics.moments(tables.trial(spark, d), "stratum")
 
 
@@ -600,15 +598,23 @@ def _(spark, d):
     return statistics.auroc(tables.trial(spark, d), "y", F.col("a") == 1)
 
 
-@query("cluster_bootstrap")
+@query("cluster_bootstrap", G + """, c AS (SELECT cluster, sum(y) FILTER (a = 0) AS s0, count(y) FILTER (a = 0) AS n0, sum(y) FILTER (a = 1) AS s1, count(y) FILTER (a = 1) AS n1 FROM g GROUP BY 1),
+i AS (SELECT *, row_number() OVER (ORDER BY cluster NULLS FIRST) - 1 AS idx, count(*) OVER () AS n FROM c),
+d AS (SELECT k.draw, floor(('0x' || substr(sha256('0|' || k.draw || '|' || i.idx), 1, 8))::BIGINT / 4294967296.0 * i.n)::BIGINT AS pick FROM i, (SELECT unnest(range(200)) AS draw) k),
+s AS (SELECT draw, sum(s1) AS s1, sum(n1) AS n1, sum(s0) AS s0, sum(n0) AS n0 FROM d JOIN i ON pick = idx GROUP BY 1)
+SELECT round(quantile_cont(s1 / n1 - s0 / n0, 0.025), 4) AS low, round(quantile_cont(s1 / n1 - s0 / n0, 0.975), 4) AS high, count(*)::BIGINT AS draws FROM s WHERE n0 > 0 AND n1 > 0""")
 def _(spark, d):
-    """Cluster bootstrap interval (rows only; draws are hashes)."""
+    """Cluster bootstrap interval; draws are hashes."""
     return statistics.cluster_bootstrap(tables.trial(spark, d), 200)
 
 
-@query("block_permutation")
+@query("block_permutation", G + """, s AS (SELECT task_id AS unit, cluster, a, y, sum(a) OVER (PARTITION BY cluster) AS k FROM g), d AS (SELECT s.*, r.draw FROM s, (SELECT unnest(range(101)) AS draw) r),
+o AS (SELECT *, row_number() OVER (PARTITION BY draw, cluster ORDER BY ('0x' || substr(sha256('0|' || draw || '|' || unit), 1, 8))::BIGINT, unit) AS n FROM d),
+m AS (SELECT draw, cluster, CASE WHEN draw = 0 THEN a ELSE (n <= k)::INT END AS a, y FROM o), c AS (SELECT draw, cluster, avg(y) FILTER (a = 1) AS m1, avg(y) FILTER (a = 0) AS m0, count(*) AS n FROM m GROUP BY 1, 2),
+t AS (SELECT draw, sum((m1 - m0) * n) / sum(n) AS t FROM c WHERE m1 IS NOT NULL AND m0 IS NOT NULL GROUP BY 1), z AS (SELECT *, max(t) FILTER (draw = 0) OVER () AS seen FROM t)
+SELECT round((count(*) FILTER (abs(t) >= abs(seen) - 1e-12) + 1) / (count(*) + 1), 4) AS p, round(max(seen), 4) AS ate, count(*)::BIGINT AS draws FROM z WHERE draw > 0""")
 def _(spark, d):
-    """Block permutation p-value (rows only; draws are hashes)."""
+    """Block permutation p-value; draws are hashes."""
     return statistics.block_permutation(tables.trial(spark, d), "cluster", 100)
 
 
@@ -636,11 +642,11 @@ def _(spark, d):
     return studies.held_out_threshold(pairs, "grp", "base", _GRID)
 
 
-@query("feasible_oracle", L + ", b AS (SELECT task_id, arg_min(method, cost) AS method, min(cost) AS cost FROM t WHERE changed_calls > 0 GROUP BY 1) SELECT n.task_id, round(n.cost, 4) AS base, CASE WHEN b.cost < 0.95 * n.cost THEN b.method ELSE 'N' END AS method, round(CASE WHEN b.cost < 0.95 * n.cost THEN b.cost ELSE n.cost END, 4) AS cost FROM t n JOIN b USING (task_id) WHERE n.method = 'N'")
+@query("feasible_oracle", L + ", b AS (SELECT task_id, arg_min(method, cost) AS method, min(cost) AS cost FROM t WHERE changed_calls > 0 GROUP BY 1) SELECT n.task_id, round(n.cost, 4) AS base, CASE WHEN b.cost < 0.95 * n.cost THEN b.method ELSE 'N' END AS method, round(CASE WHEN b.cost < 0.95 * n.cost THEN b.cost ELSE n.cost END, 4) AS cost FROM t n LEFT JOIN b USING (task_id) WHERE n.method = 'N'")
 def _(spark, d):
     """Cheapest feasible method under a tolerance."""
     costs = ledger.task_cost(tables.with_cost(tables.ledger(spark, d)))
-    return studies.feasible_oracle(costs, F.col("changed_calls") > 0, 0.05)
+    return studies.feasible_oracle(costs, F.col("changed_calls") > 0, 0.05, tables.BASELINE)
 
 
 @query("risk_selector", E + ", f AS (SELECT trace_id, count(*) AS n, count(*) FILTER (etype = 'SEARCH') / count(*) AS s, count(*) FILTER (etype = 'EDIT') / count(*) AS c, count(*) FILTER (etype = 'TEST') = 0 AS u FROM e GROUP BY 1) SELECT trace_id, CASE WHEN s >= 0.35 THEN 'SEARCH_CONSTRAINED' WHEN c >= 0.3 THEN 'PATCH_GUARD' WHEN u THEN 'VERIFY_HEAVY' ELSE 'DEFAULT' END AS config FROM f")

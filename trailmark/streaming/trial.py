@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 ARMS = ("LINEDEDUP", "LINEDEDUP", "NO_OP", "NO_OP")
-EVENTS = "task_id string, ordinal long, event_id string, stratum string, available boolean, intervene boolean, request_hash string"
+EVENTS = "task_id string, ts long, ordinal long, event_id string, stratum string, available boolean, intervene boolean, request_hash string"
+CURSOR = "stratum string, n long"
 ASSIGNED = "task_id string, event_id string, stratum string, slot long, block_id long, block_position int, assignment string, propensity double"
 
 
@@ -38,6 +39,11 @@ def plan(spark: SparkSession, seed: int, strata: list[str], blocks: int) -> Data
     return spark.createDataFrame(rows, "stratum string, slot long, block_id long, block_position int, assignment string")
 
 
+def _arrivals(requests: DataFrame) -> DataFrame:
+    """``ts`` as a number: microseconds of a timestamp, or what it is."""
+    return requests.withColumn("ts", F.unix_micros("ts") if requests.schema["ts"].dataType.typeName() == "timestamp" else F.col("ts").cast("long"))
+
+
 def ordinals(requests: DataFrame) -> DataFrame:
     """Stage one, streaming: each request's ordinal in its task and whether it is the
     task's one intervention (the first available event)."""
@@ -51,21 +57,24 @@ def ordinals(requests: DataFrame) -> DataFrame:
                 last += 1
                 now = bool(r.available) and not done
                 done = done or now
-                out.append((key[0], last, f"{key[0]}:o{last}:{r.request_hash}", r.stratum, bool(r.available), now, r.request_hash))
-            yield pd.DataFrame(out, columns=["task_id", "ordinal", "event_id", "stratum", "available", "intervene", "request_hash"])
+                out.append((key[0], r.ts, last, f"{key[0]}:o{last}:{r.request_hash}", r.stratum, bool(r.available), now, r.request_hash))
+            yield pd.DataFrame(out, columns=["task_id", "ts", "ordinal", "event_id", "stratum", "available", "intervene", "request_hash"])
         state.update((last, done))
 
-    return requests.groupBy("task_id").applyInPandasWithState(step, EVENTS, "last long, done boolean", "append", GroupStateTimeout.NoTimeout)
+    return _arrivals(requests).groupBy("task_id").applyInPandasWithState(step, EVENTS, "last long, done boolean", "append", GroupStateTimeout.NoTimeout)
 
 
 def assign_batch(events: DataFrame, table: DataFrame, used: DataFrame | None = None) -> DataFrame:
-    """Stage two for one micro-batch: slots in order of arrival after those ``used``
-    (stratum, n) of earlier batches, joined to the plan."""
-    w = Window.partitionBy("stratum").orderBy("task_id", "ordinal")
+    """Stage two for one micro-batch: slots in order of arrival (ts, then task) after those
+    ``used`` (stratum, n) of earlier batches, joined to the plan.  A plan that is used up is
+    an error: no event that is due an assignment goes without."""
+    w = Window.partitionBy("stratum").orderBy("ts", "task_id", "ordinal")
     e = events.where("intervene").withColumn("k", F.row_number().over(w) - 1)
     e = e.join(F.broadcast(used), "stratum", "left") if used is not None else e.withColumn("n", F.lit(0))
     e = e.withColumn("slot", F.col("k") + F.coalesce("n", F.lit(0)))
-    return e.join(table, ["stratum", "slot"]).select("task_id", "event_id", "stratum", "slot", "block_id", "block_position", "assignment", F.lit(0.5).alias("propensity"))
+    planned = e.join(table, ["stratum", "slot"], "left")
+    arm = F.when(F.col("assignment").isNull(), F.raise_error(F.concat(F.lit("the plan is used up for stratum "), F.coalesce("stratum", F.lit("null"))))).otherwise(F.col("assignment"))
+    return planned.select("task_id", "event_id", "stratum", "slot", "block_id", "block_position", arm.alias("assignment"), F.lit(0.5).alias("propensity"))
 
 
 def run_trial(requests: DataFrame, table: DataFrame, out: str, checkpoint: str):
@@ -76,11 +85,11 @@ def run_trial(requests: DataFrame, table: DataFrame, out: str, checkpoint: str):
         spark = batch.sparkSession
         batch.persist()
         batch.write.mode("overwrite").parquet(f"{out}/events/batch={number}")
-        used = None
-        if number:
-            past = [f"{out}/assigned/batch={i}" for i in range(number)]
-            used = spark.read.schema(ASSIGNED).parquet(*past).groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+        used = spark.read.schema(CURSOR).parquet(f"{out}/cursor/batch={number - 1}") if number else None
         assign_batch(batch, table, used).write.mode("overwrite").parquet(f"{out}/assigned/batch={number}")
+        taken = spark.read.schema(ASSIGNED).parquet(f"{out}/assigned/batch={number}").groupBy("stratum").agg(F.count(F.lit(1)).alias("n"))
+        cursor = taken if used is None else taken.unionByName(used).groupBy("stratum").agg(F.sum("n").alias("n"))
+        cursor.coalesce(1).write.mode("overwrite").parquet(f"{out}/cursor/batch={number}")  # a row for each stratum
         batch.unpersist()
 
     return ordinals(requests).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).outputMode("append").start()
@@ -89,10 +98,10 @@ def run_trial(requests: DataFrame, table: DataFrame, out: str, checkpoint: str):
 def batch_twin(requests: DataFrame, table: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The same over a finished table: (events, assignments)."""
     w = Window.partitionBy("task_id").orderBy("ts", "request_hash")
-    e = requests.withColumn("ordinal", F.row_number().over(w).cast("long"))
+    e = _arrivals(requests).withColumn("ordinal", F.row_number().over(w).cast("long"))
     first = F.min(F.when(F.col("available"), F.col("ordinal"))).over(Window.partitionBy("task_id"))
     e = e.withColumn("intervene", F.coalesce(F.col("ordinal") == first, F.lit(False)))
-    e = e.select("task_id", "ordinal", F.concat(F.col("task_id"), F.lit(":o"), F.col("ordinal").cast("string"), F.lit(":"), F.col("request_hash")).alias("event_id"), "stratum", "available", "intervene", "request_hash")
+    e = e.select("task_id", "ts", "ordinal", F.concat(F.col("task_id"), F.lit(":o"), F.col("ordinal").cast("string"), F.lit(":"), F.col("request_hash")).alias("event_id"), "stratum", "available", "intervene", "request_hash")
     return e, assign_batch(e, table)
 
 
