@@ -60,9 +60,11 @@ def brute_classes(rows, idf, threshold=0.8):
     return {rows[i][0]: rows[find(i)][0] for i in range(len(rows))}
 
 
-@pytest.mark.parametrize("block", [128, 16])
-def test_classes_match_brute_force(spark, corpus, monkeypatch, block):
+@pytest.mark.parametrize(("block", "pivots"), [(128, 48), (16, 4), (16, 0)])
+def test_classes_match_brute_force(spark, corpus, monkeypatch, block, pivots):
+    """With one comparison of each pair's blocks, with few pivots, and with none."""
     monkeypatch.setattr(near_dedup, "BLOCK", block)
+    monkeypatch.setattr(near_dedup, "PIVOTS", pivots)
     df = spark.createDataFrame(corpus, "doc_id long, text string")
     got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(df).collect()}
     idf = near_dedup.word_idf(*near_dedup.word_frequencies(df))
@@ -130,3 +132,52 @@ def test_clashing_names_and_repeated_rows(spark):
     kept = near_dedup.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted((r["doc_id"], r["key_id"]) for r in kept.collect()) == [(1, 7), (2, 8), (3, 9)]
+
+
+def test_blocks_meet_what_pivots_leave_open(spark, monkeypatch):
+    """Every two members that aren't both in the largest component meet in some unit."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
+    n = 100
+    group = lambda i: b"000" if i < 60 else b"060" if i < 80 else None
+    name = lambda i: b"%03d" % i
+    members = spark.createDataFrame([(0, 7, n, name(i), i, name(i)) for i in range(n)], "band int, key bigint, n bigint, node binary, doc_id long, md5 binary")
+    roots = lambda f: spark.createDataFrame([(name(i), f(i)) for i in range(n) if f(i)], "node binary, root binary")
+
+    def met(roots):
+        units = {}
+        for r in near_dedup.second_units(members, roots).collect():
+            units.setdefault(tuple(r["unit"]), []).append((int(r["node"]), r["side"]))
+        assert max((len(rows) for rows in units.values()), default=0) < 60
+        return {(min(a, b), max(a, b)) for u, rows in units.items() for a, s in rows for b, t in rows if a != b and (u[2] == near_dedup.ALL or s != t)}
+
+    assert met(roots(group)) == {(a, b) for a in range(n) for b in range(a + 1, n) if b >= 60}
+    assert met(roots(lambda i: b"000")) == set()
+    assert met(roots(lambda i: None)) == {(a, b) for a in range(n) for b in range(a + 1, n)}
+
+
+def test_a_large_group_of_near_copies_costs_in_proportion(spark):
+    """Five thousand different near copies: one class, and few rows to compare."""
+    rng = random.Random(3)
+    base = words(rng, 240)
+    texts = [(i, " ".join(edit(rng, base, rng.choice([1, 2, 3])))) for i in range(5000)] + [(5000 + i, " ".join(words(rng, 60))) for i in range(50)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(4)
+    got = {r["doc_id"]: r["class_id"] for r in near_dedup.classes(docs).collect()}
+    assert sum(got[i] == 0 for i in range(5000)) >= 0.99 * 5000 and all(got[i] == i for i in range(5000, 5050))
+    idf = near_dedup.word_idf(*near_dedup.word_frequencies(docs))
+    nodes = near_dedup.sign(docs, idf).groupBy("node").agg(F.min(F.struct("doc_id", "md5", "bands")).alias("s")).select("node", "s.*")
+    members = near_dedup.members_of(nodes).cache()
+    rows = near_dedup.first_units(members).count()
+    assert rows <= members.count() * (1 + 2 * near_dedup.PIVOTS / near_dedup.BLOCK)
+
+
+def test_components_joined_by_more_links(spark):
+    """Against components of all links at once."""
+    rng = random.Random(5)
+    pairs = lambda n: [tuple(sorted(rng.sample(range(60), 2))) for _ in range(n)]
+    frame = lambda rows: spark.createDataFrame([(b"%02d" % a, b"%02d" % b) for a, b in rows], "a binary, b binary")
+    first, more = pairs(20), pairs(20)
+    want = {(r["node"], r["root"]) for r in near_dedup.components(frame(sorted({*first, *more}))).collect()}
+    got = {(r["node"], r["root"]) for r in near_dedup._joined(near_dedup.components(frame(sorted(set(first)))), frame(sorted(set(more)))).collect()}
+    assert got == want
+    roots = near_dedup.components(frame(sorted(set(first))))
+    assert near_dedup._joined(roots, frame(first[:3])).count() == roots.count()

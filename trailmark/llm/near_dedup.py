@@ -10,9 +10,12 @@ by it would make copies in large groups dissimilar.)
     in a sample with the probability of their weighted Jaccard similarity.
 2.  Sixteen bands of five samples; documents that agree in a band are candidates.
     Documents with the same weighted set are one node from here on.
-3.  The members of a band's bucket are compared in units of bounded size: a large
-    bucket is dealt into blocks, and each two blocks are a unit, so no bucket meets in
-    one task and none is cut.  Buckets with the same members are compared once.
+3.  The members of a band's bucket are compared in units of bounded size.  Those of a
+    large bucket meet its pivots first, block by block.  Members that are then in one
+    component need no comparison: those outside the bucket's largest component meet each
+    other and all of its blocks.  So no bucket meets in one task, none is cut, and a group
+    of copies costs in proportion to its size.  Buckets with the same members are compared
+    once.
 4.  Candidates are linked if their weighted Jaccard similarity, computed from whole
     texts, is at least the threshold.  A unit passes on a spanning forest of its links.
 5.  Classes are the connected components of the links (large-star, small-star).
@@ -20,6 +23,8 @@ by it would make copies in large groups dissimilar.)
 
 from __future__ import annotations
 
+import json
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -27,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import storage
 from .bpe import ragged
-from .textkernel import Words, mix, slices
+from .textkernel import Words, mix, release, slices
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -36,6 +41,12 @@ BANDS, BAND_ROWS = 16, 5
 WORD_BUCKETS = 1 << 20
 #: Members of a block of a large bucket; a unit holds two blocks at most.
 BLOCK = 128
+#: Members of a large bucket that all its others meet first (as expected; hashes choose them).
+PIVOTS = 48
+#: How the members of a unit are compared: all of them; those of two blocks; or members
+#: with pivots, and pivots with each other.
+ALL, CROSS, PIVOT = 0, 1, 2
+UNIT = "struct<band int, key bigint, kind int, lo string, hi string>"
 #: Candidate keys up to which they are broadcast to pick texts (about 40 bytes each).
 BROADCAST_KEYS = 400_000
 COLUMNS = 2048
@@ -240,19 +251,65 @@ def _buckets(members: DataFrame) -> DataFrame:
     return members.groupBy("band", "key").agg(F.count(F.lit(1)).alias("n"), _set_hash("node").alias("a"), _set_hash("node", F.lit(1)).alias("b")).where("n > 1")
 
 
-def candidate_units(nodes: DataFrame) -> DataFrame:
-    """(unit, side, node, doc_id, md5): the members of each unit of comparison.
-
-    Side 0 or 1 tells the two blocks of a unit apart; a unit of one block has side 0.
-    """
+def members_of(nodes: DataFrame) -> DataFrame:
+    """(band, key, n, node, doc_id, md5): the members of each bucket of two or more, once
+    for all buckets with the same members."""
     members = nodes.select("node", "doc_id", "md5", F.posexplode("bands").alias("band", "key"))
     once = _buckets(members).groupBy("n", "a", "b").agg(F.min(F.struct("band", "key")).alias("u")).select("n", "u.band", "u.key")
+    return members.join(once, ["band", "key"])
+
+
+def _unit(kind: int, lo: Column, hi: Column) -> Column:
+    return F.struct("band", "key", F.lit(kind).alias("kind"), lo.cast("string").alias("lo"), hi.cast("string").alias("hi")).alias("unit")
+
+
+def first_units(members: DataFrame) -> DataFrame:
+    """(unit, side, node, doc_id, md5): buckets of one block whole, and each block of the
+    larger ones with the bucket's pivots (side 1)."""
     blocks = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    kept = members.join(once.withColumn("blocks", blocks), ["band", "key"])
-    mine = F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")).cast("int")
-    others = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(F.col("mine"), o).alias("lo"), F.greatest(F.col("mine"), o).alias("hi")))
-    pairs = kept.withColumn("mine", mine).select("band", "key", "node", "doc_id", "md5", "mine", F.explode(others).alias("p"))
-    return pairs.select(F.struct("band", "key", F.col("p.lo").alias("lo"), F.col("p.hi").alias("hi")).alias("unit"), (F.col("mine") != F.col("p.lo")).cast("int").alias("side"), "node", "doc_id", "md5")
+    spread = lambda salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col("n"))
+    row = ("node", "doc_id", "md5")
+    none = F.lit("")
+    small = members.where(F.col("n") <= BLOCK).select(_unit(ALL, none, none), F.lit(0).alias("side"), *row)
+    large = members.where(F.col("n") > BLOCK).withColumns({"blocks": blocks, "pivot": spread(3) < PIVOTS})
+    mine = large.where(~F.col("pivot")).select(_unit(PIVOT, F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks")), none), F.lit(0).alias("side"), *row)
+    all_blocks = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")
+    pivots = large.where("pivot").select("band", "key", *row, all_blocks).select(_unit(PIVOT, F.col("block"), none), F.lit(1).alias("side"), *row)
+    return small.unionByName(mine).unionByName(pivots)
+
+
+def second_units(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """As ``first_units``, for what is open in larger buckets: ``roots`` (node, root) are the
+    components of the links found so far.
+
+    Members of the bucket's largest component need no comparison with each other; the
+    others, in blocks, meet each other and each block of that component."""
+    found = members.where(F.col("n") > BLOCK).join(roots, "node", "left")
+    sizes = found.where("root is not null").groupBy("band", "key", "root").agg(F.count(F.lit(1)).alias("size"))
+    main = sizes.groupBy("band", "key").agg(F.max(F.struct("size", "root")).alias("m")).select("band", "key", F.col("m.size").alias("size"), F.col("m.root").alias("main"))
+    of = found.join(main, ["band", "key"], "left").withColumns({"size": F.coalesce("size", F.lit(0)), "in_main": F.coalesce(F.col("root") == F.col("main"), F.lit(False))}).where("size < n")
+    count = lambda size: F.ceil(size / F.lit(BLOCK)).cast("int")
+    of = of.withColumns({"rests": count(F.col("n") - F.col("size")), "mains": count(F.col("size"))})
+    of = of.withColumn("mine", F.pmod(F.xxhash64("node", F.lit(4)), F.when(F.col("in_main"), F.col("mains")).otherwise(F.col("rests"))).cast("int"))
+    each = lambda n, column: F.explode(F.sequence(F.lit(0), F.col(n) - 1)).alias(column)
+    row = ("node", "doc_id", "md5")
+    rest, inside = of.where("not in_main").select("band", "key", *row, "mine", "rests", "mains"), of.where("in_main").select("band", "key", *row, "mine", "rests")
+    pair = rest.select("band", "key", *row, "mine", each("rests", "other"))
+    lo, hi = F.least("mine", "other"), F.greatest("mine", "other")
+    kind = F.when(lo == hi, ALL).otherwise(CROSS)
+    both = pair.select(F.struct("band", "key", kind.alias("kind"), lo.cast("string").alias("lo"), hi.cast("string").alias("hi")).alias("unit"), (F.col("mine") != lo).cast("int").alias("side"), *row)
+    label = lambda column: F.concat(F.lit("m"), column.cast("string"))
+    outer = rest.where("mains > 0").select("band", "key", *row, "mine", each("mains", "other")).select(_unit(CROSS, F.col("mine"), label(F.col("other"))), F.lit(0).alias("side"), *row)
+    inner = inside.select("band", "key", *row, "mine", each("rests", "other")).select(_unit(CROSS, F.col("other"), label(F.col("mine"))), F.lit(1).alias("side"), *row)
+    return both.unionByName(outer).unionByName(inner)
+
+
+def _allowed(kind: int, side: np.ndarray) -> np.ndarray | bool:
+    """Which members of a unit are compared."""
+    if kind == ALL:
+        return True
+    cross = side[:, None] != side[None, :]
+    return cross if kind == CROSS else cross | (side[:, None] + side[None, :] == 2)
 
 
 def links(docs: DataFrame, units: DataFrame, idf: np.ndarray, threshold: float) -> DataFrame:
@@ -272,20 +329,20 @@ def links(docs: DataFrame, units: DataFrame, idf: np.ndarray, threshold: float)
                 yield pa.RecordBatch.from_pydict({"md5": part.column("md5"), "elements": pa.array([g[0] for g in got], pa.binary()), "weights": pa.array([g[1] for g in got], pa.binary())})
 
     def compare(batches):
-        for rows in _groups(batches):
+        for number, rows in enumerate(_groups(batches)):
+            if number % 16 == 0:
+                release()
             node, first = np.unique(np.array([x.hex() for x in rows.column("node").to_pylist()]), return_index=True)
-            if len(node) < 2:
-                continue
+            unit = json.loads(rows.column("unit")[0].as_py())
             pick = pa.array(first)
             side = rows.column("side").to_numpy()[first]
             e = [np.frombuffer(x, "<u8") for x in rows.column("elements").take(pick).to_pylist()]
             w = [np.frombuffer(x, np.uint8) for x in rows.column("weights").take(pick).to_pylist()]
-            near = np.triu(similarities(e, w) >= threshold - 1e-9, 1)
-            if side.any():  # within a block another unit compares
-                near &= side[:, None] != side[None, :]
-            found = _forest(np.argwhere(near), len(node))
+            near = (similarities(e, w) >= threshold - 1e-9) & _allowed(unit["kind"], side)
+            found = _forest(np.argwhere(np.triu(near, 1)), len(node))
             if found:
                 yield pa.RecordBatch.from_pydict({"a": pa.array([bytes.fromhex(node[i]) for i, _ in found], pa.binary()), "b": pa.array([bytes.fromhex(node[j]) for _, j in found], pa.binary())})
+        release()
 
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     joined = units.drop("doc_id").join(texts.select("md5", "text").mapInArrow(vectors, "md5 binary, elements binary, weights binary"), "md5")
@@ -335,6 +392,20 @@ def components(edges: DataFrame) -> DataFrame:
         edges = large.join(least, large["b"] == least["u"]).select(F.explode(F.array(F.struct(F.col("m").alias("a"), F.col("u").alias("b")), F.struct(F.col("m").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").where("a < b").distinct()
 
 
+def _joined(roots: DataFrame, more: DataFrame) -> DataFrame:
+    """``roots`` after more links: only components that a link joins are looked at again."""
+    of = lambda c: roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root"))
+    ends = [F.coalesce(F.col(f"{c}_root"), F.col(c)) for c in "ab"]
+    new = more.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.least(*ends).alias("a"), F.greatest(*ends).alias("b")).where("a <> b").distinct()
+    new = storage.materialize(new, "joins")
+    if new.isEmpty():
+        return roots
+    over = components(new).select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = roots.join(over, "root", "left").select("node", F.coalesce("top", "root").alias("root"))
+    single = over.select(F.col("root").alias("node"), F.col("top").alias("root")).join(roots.select("node"), "node", "left_anti")
+    return known.unionByName(single)
+
+
 def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, md5 (of the text), class_id and class_md5 of each row: a class is named
     by its least (doc_id, md5).
@@ -347,8 +418,13 @@ def classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     idf = word_idf(*word_frequencies(plain.select(F.col("text").cast("string").alias("text"))))
     signed = storage.materialize(sign(plain, idf), "signed")
     nodes = storage.materialize(signed.groupBy("node").agg(F.min(F.struct("doc_id", "md5", "bands")).alias("s")).select("node", "s.doc_id", "s.md5", "s.bands"), "nodes")
-    units = storage.materialize(candidate_units(nodes), "units")
-    roots = components(links(plain, units, idf, threshold))
+    members = storage.materialize(members_of(nodes), "members")
+    roots = components(links(plain, storage.materialize(first_units(members), "units"), idf, threshold))
+    rest, path = storage.table(second_units(members, roots), "units")
+    if rest.isEmpty():
+        storage.delete(docs.sparkSession, path)
+    else:
+        roots = _joined(roots, links(plain, rest, idf, threshold))
     by_node = nodes.select("node", "doc_id", "md5").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     least = by_node.groupBy("root").agg(F.min(F.struct("doc_id", "md5")).alias("first"))
     of_node = by_node.join(least, "root").select("node", F.col("first.doc_id").alias("class_id"), F.col("first.md5").alias("class_md5"))
