@@ -140,7 +140,7 @@ b AS (SELECT *, least(1.0, (k / n + 1.645 * 1.645 / 2 / n + 1.645 * sqrt(k / n *
 
 
 @query("saving_per_regression", _METHODS + """
-SELECT method, round(saving, 4) AS saving, k::BIGINT AS regressions, round(CASE WHEN k > 0 THEN saving / k END, 4) AS per_regression,
+SELECT method, round(saving, 4) AS saving, k::BIGINT AS regressions, round(CASE WHEN k > 0 THEN saving / k END, 4) + 0.0 AS per_regression,
  row_number() OVER (ORDER BY coalesce(CASE WHEN k > 0 THEN saving / k END, saving) DESC, method)::BIGINT AS rank,
  CASE WHEN k >= 2 OR saving <= 0 THEN 'KILL' WHEN saving > 0 THEN 'PROCEED_TO_FULL' ELSE 'WEAK' END AS screen,
  CASE WHEN ub <= 0.1 AND saving > 0 THEN 'GLOBAL_SAFE' WHEN k > 0 THEN 'UNSAFE' ELSE 'INCONCLUSIVE' END AS full_run FROM b""")
