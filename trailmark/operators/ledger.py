@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import risk_tier, wilson_upper
+from . import ranks
 
 
 def task_cost(calls: DataFrame, *keys: str) -> DataFrame:
@@ -41,7 +42,7 @@ def outcome_counts(grades: DataFrame, *keys: str) -> DataFrame:
 def frontier(savings: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Methods by median saving, with risk tier and verdict; ``outcomes`` is one row a
     method, or a single row (without a method) that holds for all."""
-    s = savings.groupBy("method").agg(F.percentile("saving", F.lit(0.5)).alias("median_saving"), F.avg("saving").alias("mean_saving"), F.count(F.lit(1)).alias("pairs"))
+    s = ranks.with_quantiles(savings, savings.groupBy("method").agg(F.avg("saving").alias("mean_saving"), F.count(F.lit(1)).alias("pairs")), ["method"], "saving", median_saving=0.5)
     outcomes = outcomes.select(*(c for c in ("method", "regressions", "loss_ub") if c in outcomes.columns))
     joined = s.join(outcomes, "method") if "method" in outcomes.columns else s.join(F.broadcast(outcomes))
     verdict = F.when((F.col("median_saving") > 2) & (F.col("loss_ub") <= 0.10), "win").when(F.col("median_saving") > 0, "marginal").otherwise("no saving")
@@ -104,20 +105,20 @@ def overlap(df: DataFrame, item: str, of: str) -> DataFrame:
 
 def quantile_cap(df: DataFrame, group: str, value: str, q: float) -> DataFrame:
     """Rows at or above their group's linear quantile."""
-    cut = df.groupBy(group).agg(F.percentile(value, F.lit(q)).alias("cut"))
+    cut = ranks.quantiles(df, [group], value, cut=q)
     return df.join(cut, group).where(F.col(value) >= F.col("cut")).groupBy(group).agg(F.max("cut").alias("cut"), F.count(F.lit(1)).alias("n"))
 
 
 def exclusive_tertiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """Tertile cuts by the exclusive method: place i (n + 1) / 3, linear between neighbours."""
-    s = df.groupBy(group).agg(F.array_sort(F.collect_list(value)).alias("s")).withColumn("n", F.size("s")).where("n > 1")
 
     def cut(i: int) -> Column:
-        whole = F.least(F.greatest(F.floor(F.lit(i) * (F.col("n") + 1) / 3), F.lit(1)), F.col("n") - 1).cast("int")
-        part = F.lit(i) * (F.col("n") + 1) - whole * 3
-        return (F.element_at("s", whole) * (3 - part) + F.element_at("s", whole + 1) * part) / 3
+        n = F.col("_rows")
+        whole = F.least(F.greatest(F.floor(F.lit(i) * (n + 1) / 3), F.lit(1)), n - 1)
+        part = F.max(F.lit(i) * (n + 1) - whole * 3)
+        return (ranks.at(whole - 1) * (3 - part) + ranks.at(whole) * part) / 3
 
-    return s.select(group, cut(1).alias("low"), cut(2).alias("high"))
+    return ranks.sorted_counts(df, [group], value).where("_rows > 1").groupBy(group).agg(cut(1).alias("low"), cut(2).alias("high"))
 
 
 def mode(df: DataFrame, group: str, value: str, order: str) -> DataFrame:
@@ -161,16 +162,14 @@ def assignment_conflicts(df: DataFrame, key: str, arm: str) -> DataFrame:
 
 def index_tertiles(df: DataFrame, group: str, value: str) -> DataFrame:
     """The values at places n // 3 and 2n // 3 (from 0) of each group's sorted values."""
-    k = F.row_number().over(Window.partitionBy(group).orderBy(value)) - 1
-    r = df.where(F.col(value).isNotNull()).select(group, value, k.alias("k"), F.count(F.lit(1)).over(Window.partitionBy(group)).alias("n"))
-    at = lambda i: F.max(F.when(F.col("k") == F.floor(F.col("n") * i / 3), F.col(value)))
-    return r.groupBy(group).agg(at(1).alias("low"), at(2).alias("high"))
+    at = lambda i: ranks.at(F.floor(F.col("_rows") * i / 3))
+    return ranks.sorted_counts(df, [group], value).groupBy(group).agg(at(1).alias("low"), at(2).alias("high"))
 
 
 def reduction_totals(pairs: DataFrame) -> DataFrame:
     """Each method's saving weighted by bill, and the mean and median over tasks."""
     bill = F.try_divide(100 * (F.sum("base") - F.sum("cost")), F.sum("base"))
-    return pairs.groupBy("method").agg(bill.alias("bill_weighted"), F.avg("saving").alias("task_mean"), F.percentile("saving", F.lit(0.5)).alias("task_median"))
+    return ranks.with_quantiles(pairs, pairs.groupBy("method").agg(bill.alias("bill_weighted"), F.avg("saving").alias("task_mean")), ["method"], "saving", task_median=0.5)
 
 
 def creation_share(calls: DataFrame, least: float) -> DataFrame:
@@ -183,7 +182,8 @@ def creation_share(calls: DataFrame, least: float) -> DataFrame:
 def dose_bins(pairs: DataFrame, dose: str, cuts: tuple[float, ...]) -> DataFrame:
     """Savings by method and half-open bin of the dose: below the first cut is bin 0."""
     bin_ = sum(((F.col(dose) >= c).cast("int") for c in cuts), F.lit(0))
-    return pairs.groupBy(bin_.alias("bin"), "method").agg(F.count(F.lit(1)).alias("n"), F.percentile("saving", F.lit(0.5)).alias("median_saving"), F.avg("saving").alias("mean_saving"))
+    binned = pairs.withColumn("bin", bin_)
+    return ranks.with_quantiles(binned, binned.groupBy("bin", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("saving").alias("mean_saving")), ["bin", "method"], "saving", median_saving=0.5)
 
 
 def decision_events(calls: DataFrame, first: Column) -> DataFrame:

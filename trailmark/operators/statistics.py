@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import Z_TWO_SIDED, wilson
+from . import ranks
 
 
 def difference_in_means(df: DataFrame, *by: str) -> DataFrame:
@@ -86,9 +87,10 @@ def leave_one_out(df: DataFrame, group: str) -> DataFrame:
 def spearman(df: DataFrame, x: str, y: str, tie: str) -> DataFrame:
     """Spearman correlation with ordinal ranks (equals by ``tie``).
 
-    The ranks need a total order of the rows; ``row_number`` over one window is that.
+    Ranks are places in a total order of the rows, part by part.
     """
-    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.row_number().over(Window.orderBy(x, tie)).alias("rx"), F.row_number().over(Window.orderBy(y, tie)).alias("ry"))
+    r = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("_x"), F.col(y).alias("_y"), F.col(tie).alias("_tie"))
+    r = ranks.place(ranks.place(r, ["_x", "_tie"], "rx"), ["_y", "_tie"], "ry")
     n = F.count(F.lit(1)).cast("double")
     d = (F.col("rx") - F.col("ry")).cast("double")
     return r.agg((1 - F.try_divide(6 * F.sum(d * d), n * (n * n - 1))).alias("rho"), F.count(F.lit(1)).alias("n"))
@@ -115,14 +117,14 @@ def benjamini_hochberg(df: DataFrame, name: str, p: str) -> DataFrame:
 
 def moments(df: DataFrame, *by: str, value: str = "y") -> DataFrame:
     """Shape of a value: null where a group's median, mean or spread is zero."""
-    return df.groupBy(*by).agg(F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"), F.try_divide(F.max(value), F.percentile(value, F.lit(0.5))).alias("max_over_median"), F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"), F.stddev_pop(value).alias("sd"), F.stddev_samp(value).alias("sd_sample"))
+    shape = df.groupBy(*by).agg(F.max(value).alias("_max"), F.skewness(value).alias("skewness"), F.kurtosis(value).alias("kurtosis"), F.try_divide(F.stddev_samp(value), F.avg(value)).alias("cv"), F.stddev_pop(value).alias("sd"), F.stddev_samp(value).alias("sd_sample"))
+    return ranks.with_quantiles(df, shape, list(by), value, _median=0.5).withColumn("max_over_median", F.try_divide("_max", "_median")).drop("_max", "_median")
 
 
 def auroc(df: DataFrame, score: str, label: Column) -> DataFrame:
     """Area under the ROC curve by rank sums over distinct scores; equals count half."""
     c = df.groupBy(score).agg(F.count_if(label).alias("p"), F.count_if(~label).alias("n"))
-    below = F.coalesce(F.sum("n").over(Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    w = c.select("p", "n", below.alias("below"))
+    w = ranks.running(c, [score], F.col("n"), "below")
     return w.agg(F.try_divide(F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)), F.sum("p") * F.sum("n")).alias("auroc"), F.sum("p").alias("positives"), F.sum("n").alias("negatives"))
 
 
@@ -132,19 +134,26 @@ def uniform(*columns: Column) -> Column:
 
 
 def cluster_bootstrap(df: DataFrame, draws: int, seed: int = 0) -> DataFrame:
-    """Percentile interval of the difference in means, resampling clusters.
+    """Percentile interval of the difference in means, resampling clusters; draws without
+    both arms don't count."""
+    y = lambda k: F.when(F.col("a") == k, F.col("y"))
+    sums = {"s0": F.sum(y(0)), "s1": F.sum(y(1)), "n0": F.count(y(0)), "n1": F.count(y(1))}
+    return bootstrap(df, "cluster", sums, F.try_divide("s1", "n1") - F.try_divide("s0", "n0"), draws, seed)
+
+
+def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: Column, draws: int, seed: int = 0) -> DataFrame:
+    """Percentile interval of any statistic of the clusters' sums.
 
     Each cluster is summed once; a draw takes as many clusters as there are, with
     replacement, by the hashes of its slots, so no row is copied and draws run in parallel.
+    Draws without a value don't count.
     """
-    g = df.groupBy("cluster").agg(*(f(F.when(F.col("a") == k, F.col("y"))).alias(f"{n}{k}") for k in (0, 1) for n, f in (("s", F.sum), ("n", F.count))))
-    numbered = g.withColumn("slot", F.row_number().over(Window.orderBy("cluster")) - 1)  # a row for each cluster
+    numbered = ranks.place(df.groupBy(F.col(cluster).alias("cluster")).agg(*(c.alias(n) for n, c in sums.items())), ["cluster"], "slot").withColumn("slot", F.col("slot") - 1)
     size = numbered.agg(F.count(F.lit(1)).alias("clusters"))
     slots = numbered.select("slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).join(F.broadcast(size))
-    picks = slots.select("draw", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("slot")) * F.col("clusters")).cast("int").alias("slot")).groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("k"))
-    s = picks.join(numbered, "slot").groupBy("draw").agg(*(F.sum(F.col("k") * F.coalesce(f"{n}{k}", F.lit(0))).alias(f"{n}{k}") for k in (0, 1) for n in "sn")).where("n0 > 0 and n1 > 0")
-    diff = F.col("s1") / F.col("n1") - F.col("s0") / F.col("n0")
-    return s.select(diff.alias("d")).agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("draws"))
+    picks = slots.select("draw", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("slot")) * F.col("clusters")).cast("long").alias("slot")).groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("k"))
+    s = picks.join(numbered, "slot").groupBy("draw").agg(*(F.sum(F.col("k") * F.coalesce(n, F.lit(0))).alias(n) for n in sums))
+    return s.select(statistic.alias("d")).dropna().agg(F.percentile("d", F.lit(0.025)).alias("low"), F.percentile("d", F.lit(0.975)).alias("high"), F.count(F.lit(1)).alias("draws"))
 
 
 def block_permutation(df: DataFrame, block: str, draws: int, seed: int = 0) -> DataFrame:
@@ -207,9 +216,10 @@ def correlations(df: DataFrame, columns: list[str]) -> DataFrame:
 def robust_means(df: DataFrame, tail: float) -> DataFrame:
     """Each arm's mean with both tails pulled in to their quantiles or cut off, the mean of
     log(1 + y), and the median."""
-    q = df.agg(F.percentile("y", F.lit(tail)).alias("lo"), F.percentile("y", F.lit(1 - tail)).alias("hi"))
+    q = ranks.quantiles(df, [], "y", lo=tail, hi=1 - tail)
     y, lo, hi = F.col("y"), F.col("lo"), F.col("hi")
-    return df.join(F.broadcast(q)).groupBy("a").agg(F.avg(F.least(F.greatest(y, lo), hi)).alias("winsorised"), F.avg(F.when(y.between(lo, hi), y)).alias("trimmed"), F.avg(F.log1p(y)).alias("log_mean"), F.percentile(y, F.lit(0.5)).alias("median"))
+    means = df.join(F.broadcast(q)).groupBy("a").agg(F.avg(F.least(F.greatest(y, lo), hi)).alias("winsorised"), F.avg(F.when(y.between(lo, hi), y)).alias("trimmed"), F.avg(F.log1p(y)).alias("log_mean"))
+    return ranks.with_quantiles(df, means, ["a"], "y", median=0.5)
 
 
 def in_sample_dr(df: DataFrame, propensity: float = 0.5) -> DataFrame:

@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from . import ranks
 from .statistics import uniform
 
 # --- fixed values -----------------------------------------------------------
@@ -59,8 +60,12 @@ def feasible_oracle(costs: DataFrame, solved: Column, tolerance: float, baseline
 
 def calibration(df: DataFrame, predicted: str, actual: str, tie: str, bins: int = 3) -> DataFrame:
     """Mean prediction and outcome of equally filled bins of the prediction."""
-    b = F.ntile(bins).over(Window.orderBy(predicted, tie))
-    return df.select(b.alias("bin"), predicted, actual).groupBy("bin").agg(F.avg(predicted).alias("predicted"), F.avg(actual).alias("actual"), F.count(F.lit(1)).alias("n"))
+    n = df.agg(F.count(F.lit(1)).alias("_rows"))
+    placed = ranks.place(df.select(predicted, actual, F.col(tie).alias("_tie")), [predicted, "_tie"], "_at").join(F.broadcast(n))
+    whole, more, k = F.floor(F.col("_rows") / bins), F.col("_rows") % bins, F.col("_at") - 1
+    large = more * (whole + 1)  # rows of the first bins, which hold one more
+    b = F.when(k < large, F.floor(k / (whole + 1))).otherwise(more + F.floor(F.try_divide(k - large, whole))) + 1
+    return placed.select(b.alias("bin"), predicted, actual).groupBy("bin").agg(F.avg(predicted).alias("predicted"), F.avg(actual).alias("actual"), F.count(F.lit(1)).alias("n"))
 
 
 def coverage_curve(df: DataFrame, score: str, gain: str, cuts: tuple[float, ...]) -> DataFrame:
@@ -182,11 +187,12 @@ def cluster_names(proposals: DataFrame, family: str = "family") -> DataFrame:
 
 def shards(df: DataFrame, order: str, size: int = 12) -> DataFrame:
     """The shard of each row, ``size`` rows to a shard in the order given."""
-    return df.withColumn("shard", F.floor((F.row_number().over(Window.orderBy(order)) - 1) / size))
+    return ranks.place(df, [order], "shard").withColumn("shard", F.floor((F.col("shard") - 1) / size))
 
 
 def impute(df: DataFrame, columns: list[str]) -> DataFrame:
     """Missing values become medians, beside a flag that says so."""
-    medians = df.agg(*(F.percentile(c, F.lit(0.5)).alias(f"_m_{c}") for c in columns))
+    long = df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("_c"), F.col(c).cast("double").alias("_value")) for c in columns))).alias("_r")).select("_r.*")
+    medians = ranks.quantiles(long, ["_c"], "_value", _m=0.5).agg(*(F.max(F.when(F.col("_c") == c, F.col("_m"))).alias(f"_m_{c}") for c in columns))
     filled = {c: F.coalesce(F.col(c).cast("double"), F.col(f"_m_{c}")) for c in columns}
     return df.join(F.broadcast(medians)).withColumns({f"miss_{c}": F.col(c).isNull() for c in columns}).withColumns(filled).drop(*(f"_m_{c}" for c in columns))

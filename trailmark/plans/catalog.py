@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import columns as C
-from ..operators import agreement, ledger, messages, sequence, statistics, studies
+from ..operators import agreement, ledger, messages, ranks, sequence, statistics, studies
 from ..sources import tables
 
 QUERY = Callable[[SparkSession, str], DataFrame]
@@ -163,7 +163,8 @@ def _(spark, d):
 @query("dose_median", L + "SELECT method, round(median(chars_removed), 4) AS dose, count(*)::BIGINT AS changed FROM l WHERE changed GROUP BY 1")
 def _(spark, d):
     """Median removal where something changed."""
-    return tables.ledger(spark, d).where("changed").groupBy("method").agg(F.percentile("chars_removed", F.lit(0.5)).alias("dose"), F.count(F.lit(1)).alias("changed"))
+    calls = tables.ledger(spark, d).where("changed")
+    return ranks.with_quantiles(calls, calls.groupBy("method").agg(F.count(F.lit(1)).alias("changed")), ["method"], "chars_removed", dose=0.5)
 
 
 @query("first_divergence", L + ", f AS (SELECT task_id, call_index, min(call_index) FILTER (changed) OVER (PARTITION BY task_id) AS fd FROM l) SELECT task_id, max(fd)::BIGINT AS first_divergence, count(*) FILTER (fd IS NULL OR call_index < fd)::BIGINT AS matched_prefix FROM f GROUP BY 1")
@@ -512,7 +513,51 @@ _LS = "string_split(text, chr(10))"
 _method("RETRIEVREF_e4", f"CASE WHEN {_N} <= 5000 THEN text WHEN len({_LS}) < 50 THEN left(text, 3000) || {_NL} || '[... ' || ({_N} - 3500) || ' chars elided; re-run the command to see full output ...]' || {_NL} || right(text, 500) ELSE array_to_string({_LS}[1:30], {_NL}) || {_NL} || '[... ' || (len({_LS}) - 45) || ' lines elided (' || {_N} || ' chars total); re-read file/re-run to see full ...]' || {_NL} || array_to_string({_LS}[-15:], {_NL}) END")
 _LD = ", el AS (SELECT req_id, idx, generate_subscripts(string_split(text, chr(10)), 1) AS no, unnest(string_split(text, chr(10))) AS line FROM m WHERE is_obs), es AS (SELECT *, regexp_replace(line, '^\\s+|\\s+$', '', 'g') AS s FROM el), ed AS (SELECT *, length(s) >= 12 AND row_number() OVER (PARTITION BY req_id, s ORDER BY idx, no) > 1 AS dr FROM es), ek AS (SELECT req_id, idx, string_agg(line, chr(10) ORDER BY no) FILTER (NOT dr) AS kept, count(*) FILTER (dr) AS dropped FROM ed GROUP BY 1, 2), x AS (SELECT m.*, coalesce(kept, '') AS kept, dropped FROM m LEFT JOIN ek USING (req_id, idx))"
 _method("LINEDEDUP_e4", f"CASE WHEN {_N} >= 300 AND dropped > 3 THEN kept || {_NL} || '[' || dropped || ' duplicate lines elided]' ELSE text END", _LD)
-_method("CNEG_recency", None)
+_TURNS = ", x AS (SELECT *, row_number() OVER (PARTITION BY req_id ORDER BY idx) AS place, count(*) OVER (PARTITION BY req_id) AS turns FROM m)"
+_method("CNEG_recency", "CASE WHEN turns > 8 AND place > 2 AND place <= turns - 6 AND role = 'user' THEN '[earlier turn dropped by recency window]' ELSE text END", _TURNS)
+_PREV = ", x AS (SELECT *, coalesce(lag(text) OVER (PARTITION BY req_id ORDER BY idx), '') AS prev FROM m)"
+_HEAD = "regexp_split_to_array(regexp_replace(text, '\\n$', ''), '\\r\\n|\\n|\\r')"
+_method("M5_search_head", f"CASE WHEN regexp_matches(prev, '{messages.SEARCH_COMMAND}') AND len({_HEAD}) > 25 THEN array_to_string({_HEAD}[1:20], {_NL}) || {_NL} || '…[' || (len({_HEAD}) - 20) || ' more result lines elided]' ELSE text END", _PREV)
+_has = lambda text, words: "(" + " OR ".join(f"contains({text}, '{w}')" for w in words) + ")"
+_method("M6_env_log_collapse", f"CASE WHEN regexp_matches(prev, '{messages.BUILD_COMMAND}') AND {_N} >= 400 AND NOT {_has('lower(text)', messages.BUILD_FAILURES)} THEN '[build/env step succeeded; ' || {_N} || ' chars of log elided]' ELSE text END", _PREV)
+_READ = _PREV.replace("x AS", "x0 AS") + f", x1 AS (SELECT *, CASE WHEN is_obs THEN nullif(regexp_extract(prev, '{messages.READ_PATH}', 1), '') END AS p FROM x0), x AS (SELECT *, max(idx) OVER (PARTITION BY req_id, p) AS later FROM x1)"
+_method("M2_stale_read_elide", f"CASE WHEN p IS NOT NULL AND later > idx AND {_N} > 200 THEN '[stale view of ' || p || '; superseded by a later read/edit at step ' || later || ']' ELSE text END", _READ)
+
+
+def _then(new: str, before: str = "", source: str = "m") -> str:
+    """SQL of the messages after a first transform, as table ``y``."""
+    return f"{before}, y AS (SELECT req_id, idx, is_obs, role, CASE WHEN is_obs THEN {new} ELSE text END AS text FROM {source})"
+
+
+_OLD = _then(_clear(8, 300, "[earlier tool observation cleared (context editing); "), _RANK, "x").replace("x AS (", "x2 AS (").replace("FROM x)", "FROM x2)")
+_FIRST_Y = _FIRST.replace("FROM m)", "FROM y)")
+_SMART = lambda least, few, block, head, errors, tail, marks, mid: (
+    f"CASE WHEN {_N} <= {least} THEN text WHEN len({_LS}) <= {few} THEN {block} WHEN length(array_to_string(list_concat({_LS}[1:{head}], {mid}, list_filter({_LS}, lambda z: {_has('z', marks)})[1:{errors}], {_LS}[-{tail}:]), {_NL})) < {_N}"
+    f" THEN array_to_string(list_concat({_LS}[1:{head}], {mid}, list_filter({_LS}, lambda z: {_has('z', marks)})[1:{errors}], {_LS}[-{tail}:]), {_NL}) ELSE text END"
+)
+_SM = _SMART(600, 12, f"CASE WHEN {_N} > 1200 THEN left(text, 700) || {_NL} || '...[' || ({_N} - 1000) || ' elided]...' || {_NL} || right(text, 300) ELSE text END", 6, 8, 4, messages.SMART_MARKS, f"CASE WHEN len({_LS}) > 10 THEN ['...[middle elided]...'] ELSE [] END")
+_SG = _SMART(3000, 20, f"left(text, 1800) || {_NL} || '...[' || ({_N} - 2400) || ' elided]...' || {_NL} || right(text, 600)", 12, 10, 6, messages.GENTLE_MARKS, "['...[middle elided]...']")
+_method("COMBO1_m7_cap5k", _cap_sql(5000, "…[", " chars elided; head+tail kept]…"), _OLD + ", x AS (SELECT * FROM y)")
+_method("COMBO2_m7_dedup", f"CASE WHEN {_N} >= 200 AND f < idx THEN '[identical to the observation at step ' || f || ']' ELSE text END", _OLD + _FIRST_Y)
+_method("COMBOCD_stable", _cap_sql(1000), _then(f"CASE WHEN {_N} >= 200 AND f < idx THEN '[identical to earlier observation #' || f || '; ' || {_N} || ' chars]' ELSE text END", _FIRST.replace("x AS", "x0 AS"), "x0") + ", x AS (SELECT * FROM y)")
+_method("SMART_stable", _SM)
+_method("COMBOSC_stable", _cap_sql(1200), _then(_SM) + ", x AS (SELECT * FROM y)")
+_method("SMARTGENTLE_stable", _SG)
+
+
+def _signal_sql(source: str) -> str:
+    """Lines by kind: signal, other, blank; a blank one is dropped after a dropped one."""
+    return f""", sl AS (SELECT req_id, idx, generate_subscripts({_LS}, 1) AS no, unnest({_LS}) AS line FROM {source} WHERE is_obs AND {_N} > 2000 AND len({_LS}) >= 20),
+ sk AS (SELECT *, CASE WHEN regexp_matches(line, '{messages.SIGNAL}') THEN 'S' WHEN regexp_replace(line, '^\\s+|\\s+$', '', 'g') <> '' THEN 'N' END AS kind FROM sl),
+ sd AS (SELECT *, coalesce(last_value(kind IGNORE NULLS) OVER (PARTITION BY req_id, idx ORDER BY no), 'S') = 'N' AS gone FROM sk),
+ se AS (SELECT *, coalesce(lag(gone) OVER (PARTITION BY req_id, idx ORDER BY no), false) AS after FROM sd),
+ sg AS (SELECT req_id, idx, coalesce(string_agg(CASE WHEN gone THEN '  ...' ELSE line END, chr(10) ORDER BY no) FILTER (NOT (gone AND after)), '') AS short FROM se GROUP BY 1, 2),
+ x AS (SELECT s.*, short FROM {source} s LEFT JOIN sg USING (req_id, idx))"""
+
+
+_SIGNAL = f"CASE WHEN length(short) < {_N} * 0.85 THEN short ELSE text END"
+_method("SIGNAL_e4", _SIGNAL, _signal_sql("m"))
+_method("COMBOSS_e4", _SIGNAL, _then(f"CASE WHEN {_N} >= 200 AND length({_SQ}) < {_N} THEN {_SQ} ELSE text END") + _signal_sql("y"))
 for _k in messages.METHODS:
     if f"transform_{_k.lower()}" not in QUERIES:
         _method(_k, None)
