@@ -209,3 +209,16 @@ def recurrence_by_kind(df: DataFrame, key: str, order: str, entity: str, is_plan
     last = lambda own, count, k: F.max(F.when(own, F.col(count))).over(Window.partitionBy(key, entity).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)) >= F.col(count) - k
     seen_plan, seen_output = last(F.col("_p"), "_np", plans), last(~F.col("_p"), "_no", outputs)
     return n.select(key, order, F.coalesce(seen_plan & F.col(entity).isNotNull(), F.lit(False)).alias("in_plans"), F.coalesce(seen_output & F.col(entity).isNotNull(), F.lit(False)).alias("in_outputs"))
+
+
+def stagnation(df: DataFrame, key: str, order: str, result: str, files: str) -> DataFrame:
+    """Rows without evidence: the result was seen before and no file is new.  The longest
+    run of them in each trace, and their share of its rows."""
+    w = _w(key, order)
+    f = df.select(key, order, F.explode(files).alias("_file")).distinct()
+    new = f.withColumn("_first", F.row_number().over(Window.partitionBy(key, "_file").orderBy(order)) == 1).groupBy(key, order).agg(F.bool_or("_first").alias("_new"))
+    seen = F.row_number().over(Window.partitionBy(key, result).orderBy(order)) > 1
+    r = df.select(key, order, result).join(new, [key, order], "left").withColumn("_stale", seen & ~F.coalesce("_new", F.lit(False)))
+    r = r.withColumn("_run", F.count_if(~F.col("_stale")).over(w))
+    runs = r.groupBy(key, "_run").agg(F.count_if("_stale").alias("stale"), F.count(F.lit(1)).alias("n"))
+    return runs.groupBy(key).agg(F.max("stale").alias("longest"), (F.sum("stale") / F.sum("n")).alias("fraction"))
