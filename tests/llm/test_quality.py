@@ -113,3 +113,69 @@ def test_pu_risk_is_corrected():
     assert ((g[n_p:] > 0) == hidden).mean() > 0.93  # though no negative was ever seen
     empty = toxicity.fit(np.zeros(0, int), np.zeros(0, int), np.zeros(0, bool), 0.3)
     assert empty.probability(pa.array(["a", None])).tolist() == pytest.approx([0.3, 0.3])
+
+
+def test_flat_trees_equal_a_walk_from_node_to_node():
+    x, y = sample(400)
+    m = quality_rules.fit(x, y, trees=12)
+
+    def walk(row):
+        total = m.bias
+        for node in m.roots:
+            while m.left[node] != node:
+                node = m.left[node] if row[m.feature[node]] <= m.threshold[node] else m.right[node]
+            total += m.value[node]
+        return total
+
+    assert m.margin(x[:60]) == pytest.approx([walk(r) for r in x[:60]])
+
+
+def test_rules_on_documents_they_were_not_fitted_on(spark):
+    d = "/root/testdata/sf0.01"
+    fold = docstats.crc_mod("doc_id", 3) != 1
+    model = quality_rules.fit(*docstats.fit_features(docstats.labelled(spark, d, "quality", fold)))
+    docs = spark.read.parquet(f"{d}/documents.parquet")
+    got = quality_rules.annotate(docs, model).where(~fold).join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").where("not base_failed").collect()
+    good, bad = [r["kept"] for r in got if r["quality"] == 1], [r["kept"] for r in got if r["quality"] == 0]
+    assert len(got) > 100 and np.mean(good) > 0.97
+    assert not bad or np.mean(bad) < 0.1
+
+
+def test_training_without_labels_or_documents(spark, tmp_path):
+    for t in ("documents", "labels"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{t}.parquet").where("false").write.parquet(f"{tmp_path}/{t}.parquet")
+    for op in (quality_rules.op5, quality_gam.op6, toxicity.op7):
+        assert op(spark, str(tmp_path)).count() == 0
+
+
+def test_words_of_texts_equal_plain_sets():
+    texts = ["Bad, bad WORDS!", "", None, "words bad", "other (words)"]
+    doc, bucket = toxicity.word_buckets(pa.array(texts))
+    got = [set(bucket[doc == i].tolist()) for i in range(len(texts))]
+    assert [len(g) for g in got] == [2, 0, 0, 2, 2]
+    assert got[0] == got[3] and len(got[0] & got[4]) == 1
+
+
+def test_fitted_weights_do_not_raise_the_risk_by_a_step_in_any_direction():
+    """The learned point is near a minimum of the corrected risk, written out plainly."""
+    rng = np.random.default_rng(4)
+    n_p, n_u, pi = 200, 1500, 0.25
+    hidden = np.append(np.ones(n_p, bool), rng.random(n_u) < pi)
+    words = rng.random((n_p + n_u, 6)) < np.where(hidden[:, None] & (np.arange(6) < 3), 0.6, 0.15)
+    doc, bucket = np.nonzero(words)
+    positive = np.arange(n_p + n_u) < n_p
+    m = toxicity.fit(doc, bucket, positive, pi)
+    w = m.weights[:6].astype(float)
+
+    def risk(w, b):
+        g = words @ w + b
+        of = lambda v, rows: np.mean(np.logaddexp(0, v[rows]))
+        return pi * of(-g, positive) + max(0.0, of(g, ~positive) - pi * of(g, positive)) + 1e-4 / 2 * (w @ w)
+
+    used = np.flatnonzero(w)
+    assert set(used) >= {0, 1, 2}
+    here = risk(w, m.bias)
+    assert here < risk(np.zeros(6), np.log(pi / (1 - pi))) - 0.02
+    for k in used:
+        for step in (-0.3, 0.3):
+            assert risk(w + step * (np.arange(6) == k), m.bias) > here - 1e-4

@@ -275,5 +275,9 @@ def _fill(j: int, rows: pa.Table, rates: np.ndarray, lasts: np.ndarray, window:
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents packed at their sources' natural proportions; the contract's columns."""
+    """All documents packed at their sources' natural proportions; the contract's columns.
+
+    Null and empty texts have the end token alone; a null source is a source of its own;
+    repeated rows are packed each; an empty table gives no rows.
+    """
     return pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), with_ids=False).drop("source")
