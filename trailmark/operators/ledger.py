@@ -42,7 +42,7 @@ def outcome_counts(grades: DataFrame, *keys: str) -> DataFrame:
 def frontier(savings: DataFrame, outcomes: DataFrame) -> DataFrame:
     """Methods by median saving, with risk tier and verdict; ``outcomes`` is one row a
     method, or a single row (without a method) that holds for all."""
-    s = ranks.with_quantiles(savings, savings.groupBy("method").agg(F.avg("saving").alias("mean_saving"), F.count(F.lit(1)).alias("pairs")), ["method"], "saving", median_saving=0.5)
+    s = ranks.quantiles(savings, ["method"], "saving", median_saving=0.5, mean_saving=ranks.mean(), pairs=F.sum("_n"))
     outcomes = outcomes.select(*(c for c in ("method", "regressions", "loss_ub") if c in outcomes.columns))
     joined = s.join(outcomes, "method") if "method" in outcomes.columns else s.join(F.broadcast(outcomes))
     verdict = F.when((F.col("median_saving") > 2) & (F.col("loss_ub") <= 0.10), "win").when(F.col("median_saving") > 0, "marginal").otherwise("no saving")
@@ -182,8 +182,7 @@ def creation_share(calls: DataFrame, least: float) -> DataFrame:
 def dose_bins(pairs: DataFrame, dose: str, cuts: tuple[float, ...]) -> DataFrame:
     """Savings by method and half-open bin of the dose: below the first cut is bin 0."""
     bin_ = sum(((F.col(dose) >= c).cast("int") for c in cuts), F.lit(0))
-    binned = pairs.withColumn("bin", bin_)
-    return ranks.with_quantiles(binned, binned.groupBy("bin", "method").agg(F.count(F.lit(1)).alias("n"), F.avg("saving").alias("mean_saving")), ["bin", "method"], "saving", median_saving=0.5)
+    return ranks.quantiles(pairs.withColumn("bin", bin_), ["bin", "method"], "saving", n=F.sum("_n"), median_saving=0.5, mean_saving=ranks.mean())
 
 
 def decision_events(calls: DataFrame, first: Column) -> DataFrame:

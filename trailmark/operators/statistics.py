@@ -148,8 +148,9 @@ def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: C
     replacement, by the hashes of its slots, so no row is copied and draws run in parallel.
     Draws without a value don't count.
     """
-    numbered = ranks.place(df.groupBy(F.col(cluster).alias("cluster")).agg(*(c.alias(n) for n, c in sums.items())), ["cluster"], "slot").withColumn("slot", F.col("slot") - 1)
-    size = numbered.agg(F.count(F.lit(1)).alias("clusters"))
+    g = df.groupBy(F.col(cluster).alias("cluster")).agg(*(c.alias(n) for n, c in sums.items()))
+    numbered = ranks.place(g, ["cluster"], "slot").withColumn("slot", F.col("slot") - 1)
+    size = g.agg(F.count(F.lit(1)).alias("clusters"))
     slots = numbered.select("slot", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw")).join(F.broadcast(size))
     picks = slots.select("draw", F.floor(uniform(F.lit(seed), F.col("draw"), F.col("slot")) * F.col("clusters")).cast("long").alias("slot")).groupBy("draw", "slot").agg(F.count(F.lit(1)).alias("k"))
     s = picks.join(numbered, "slot").groupBy("draw").agg(*(F.sum(F.col("k") * F.coalesce(n, F.lit(0))).alias(n) for n in sums))
