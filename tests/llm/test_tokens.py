@@ -161,6 +161,32 @@ def test_many_sources_keep_weights_and_large_queues(spark, monkeypatch):
     assert shares({"large": 0.05}, "large") < 0.15
 
 
+def test_placing_takes_no_index_for_each_byte():
+    """A batch of 64 MB may reach a worker; what is made beside it must not be a multiple."""
+    import tracemalloc
+
+    rng = np.random.default_rng(0)
+    n = rng.integers(1, 8000, 1000)
+    ids, cut = rng.integers(0, 50_000, n.sum()).astype("<u2"), np.concatenate([[0], np.cumsum(n)])
+    queue = np.arange(1000, dtype=np.int32) % 2
+    start = np.concatenate([[0], np.cumsum(np.where(queue == 0, n, 0))])[:-1] * (queue == 0) + np.concatenate([[0], np.cumsum(np.where(queue == 1, n, 0))])[:-1] * (queue == 1)
+    columns = {"queue": queue, "base": np.zeros(1000, np.int64), "start": start, "doc_id": np.arange(1000), "n": n, "width": np.full(1000, 2, np.int32)}
+    batch = pa.RecordBatch.from_pydict({k: pa.array(v) for k, v in columns.items()} | {"source": pa.array(["s"] * 1000), "ids": pa.array([ids[a:b].tobytes() for a, b in zip(cut[:-1], cut[1:])], pa.binary())})
+    rates, last = np.array([20_000.0, 30_000.5]), np.array([10_000, 10_000])
+    tracemalloc.start()
+    (out,) = packing._place(batch, rates, last, 128)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert out.num_rows > 1000 and most < ids.nbytes
+    for rows, placed in ((batch, out), (batch.slice(300, 400), *packing._place(batch.slice(300, 400), rates, last, 128))):
+        found = {d: [] for d in rows.column("doc_id").to_pylist()}
+        for r in sorted(placed.to_pylist(), key=lambda r: (r["doc_id"], r["start"])):
+            assert r["start"] == sum(len(x) for x in found[r["doc_id"]]) // 2 and len(r["ids"]) == 2 * r["n"]
+            found[r["doc_id"]].append(r["ids"])
+        assert all(b"".join(x) == ids[cut[d] : cut[d + 1]].tobytes() for d, x in found.items())
+    assert list(packing._place(batch.slice(0, 0), rates, last, 128)) == []
+
+
 def test_windows_hold_target_proportions():
     sizes = np.array([50_000, 30_000, 15_000, 5_000])
     q, give, w = packing.schedule(sizes, np.zeros(4), 1024, 128)

@@ -246,3 +246,8 @@ def encoder(path: str) -> Encoder:
     if path not in _encoders:
         _encoders[path] = Encoder(path)
     return _encoders[path]
+
+
+def forget() -> None:
+    """Free the worker's encoders: once texts are encoded, later tasks need their memory."""
+    _encoders.clear()

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import bpe, storage
-from .textkernel import slices
+from .textkernel import release, slices
 
 SEQUENCE_TOKENS = 1024
 SEGMENT_SEQUENCES = 1024
@@ -118,8 +118,10 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabu
     placed = rows.join(F.broadcast(offsets) if small else offsets, ["part", "queue"])
 
     def place(batches):
+        bpe.forget()
         for batch in batches:
             yield from _place(batch, rates, last, min_serve)
+            release()
 
     kind = "segment long, queue int, at long, doc_id long, start long, n long, doc_tokens long, width int, source string, ids binary"
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -128,6 +130,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | None = None, vocabu
     def fill(batches):
         for j, rows in _segments(batches):
             yield from _fill(j, rows, rates, last, sequence_tokens, min_serve, ids_per_segment, with_ids)
+            release()
 
     out = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string" + ", ids binary" * with_ids
     return dealt.mapInArrow(fill, out)
@@ -148,6 +151,8 @@ def _segment_of(at: np.ndarray, rate: np.ndarray, last: np.ndarray, step: int) -
 
 def _place(batch: pa.RecordBatch, rates: np.ndarray, lasts: np.ndarray, step: int) -> Iterator[pa.RecordBatch]:
     """Cut documents where segments end."""
+    if not batch.num_rows:
+        return
     col = lambda c: batch.column(c).to_numpy(zero_copy_only=False)
     queue, n, width = col("queue"), col("n"), col("width")
     at = col("base") + col("start")
@@ -165,12 +170,13 @@ def _place(batch: pa.RecordBatch, rates: np.ndarray, lasts: np.ndarray, step: in
         for to, x in ((row, np.full(len(j), i)), (lo, starts), (hi, np.append(starts[1:], n[i])), (seg, j)):
             to.append(x)
     row, lo, hi, seg = (np.concatenate(x) for x in (row, lo, hi, seg))
+    order = np.lexsort((lo, row))
+    row, lo, hi, seg = row[order], lo[order], hi[order], seg[order]
+    # In this order the pieces fill the batch's ids without a gap, so the ids stay where they are.
     data = batch.column("ids").cast(pa.large_binary())
     offsets = np.frombuffer(data.buffers()[1], np.int64)[data.offset : data.offset + len(data) + 1]
-    raw = np.frombuffer(data.buffers()[2], np.uint8) if data.buffers()[2] else np.zeros(0, np.uint8)
-    size = (hi - lo) * width[row]
-    take = bpe.ragged(offsets[row] + lo * width[row], size)
-    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(np.concatenate([[0], np.cumsum(size)])), pa.py_buffer(raw[take])]).cast(pa.binary())
+    bounds = np.append(offsets[row] + lo * width[row], offsets[-1])
+    ids = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(bounds), data.buffers()[2]]).cast(pa.binary())
     pick = pa.array(row)
     yield pa.RecordBatch.from_pydict({"segment": pa.array(seg), "queue": pa.array(queue[row], pa.int32()), "at": pa.array(at[row] + lo), "doc_id": batch.column("doc_id").take(pick), "start": pa.array(lo), "n": pa.array(hi - lo), "doc_tokens": pa.array(n[row]), "width": pa.array(width[row], pa.int32()), "source": batch.column("source").take(pick), "ids": ids})
 
