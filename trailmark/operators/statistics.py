@@ -15,6 +15,9 @@ from pyspark.sql import functions as F
 from ..functions.columns import Z_TWO_SIDED, wilson
 from . import ranks
 
+#: Slots of the hashes of a permutation; a power of two.  A task holds one sum for each draw, block and slot.
+SLOTS = 256
+
 
 def difference_in_means(df: DataFrame, *by: str) -> DataFrame:
     one, zero = F.when(F.col("a") == 1, F.col("y")), F.when(F.col("a") == 0, F.col("y"))
@@ -158,12 +161,32 @@ def bootstrap(df: DataFrame, cluster: str, sums: dict[str, Column], statistic: C
 
 
 def block_permutation(df: DataFrame, block: str, draws: int, seed: int = 0) -> DataFrame:
-    """p-value of the block-adjusted effect: arms are permuted inside blocks by hash order."""
-    size = df.select("unit", block, "a", "y").withColumn("k", F.sum("a").over(Window.partitionBy(block)))
-    drawn = size.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw"))
-    order = F.row_number().over(Window.partitionBy("draw", block).orderBy(uniform(F.lit(seed), F.col("draw"), F.col("unit")), "unit"))
-    arm = F.when(F.col("draw") == 0, F.col("a")).otherwise((order <= F.col("k")).cast("int"))  # draw 0 is what was observed
-    cells = drawn.withColumn("a", arm).groupBy("draw", block).agg(F.avg(F.when(F.col("a") == 1, F.col("y"))).alias("m1"), F.avg(F.when(F.col("a") == 0, F.col("y"))).alias("m0"), F.count(F.lit(1)).alias("n")).where("m1 is not null and m0 is not null")
+    """p-value of the block-adjusted effect: arms are permuted inside blocks by hash order.
+
+    A draw gives arm 1 to as many units of a block as were observed in it, those of the least
+    hashes.  Counts and sums by ``SLOTS`` equal slots of the hashes say which slots lie on one
+    side of that border as a whole; only the slot on the border is put in order, so neither a
+    block nor a draw meets in one task.
+    """
+    rows = df.select(F.col("unit"), F.col(block).alias("block"), "a", "y")
+    sums = lambda one, zero: (F.sum(F.when(one, F.col("s"))).alias("s1"), F.sum(F.when(one, F.col("c"))).alias("c1"), F.sum(F.when(zero, F.col("s"))).alias("s0"), F.sum(F.when(zero, F.col("c"))).alias("c0"))
+    value = (F.sum("y").alias("s"), F.count("y").alias("c"), F.count(F.lit(1)).alias("n"))
+    key = uniform(F.lit(seed), F.col("draw"), F.col("unit"))
+    slot = F.floor(key * SLOTS).cast("int")
+    drawn = rows.select("*", F.explode(F.sequence(F.lit(0), F.lit(draws))).alias("draw")).where("draw > 0")
+    slots = drawn.groupBy("draw", "block", slot.alias("slot")).agg(*value, F.sum("a").alias("k"))
+    whole, upto = Window.partitionBy("draw", "block"), Window.partitionBy("draw", "block").orderBy("slot")
+    slots = slots.withColumns({"k": F.sum("k").over(whole), "upto": F.sum("n").over(upto)}).withColumn("before", F.col("upto") - F.col("n"))
+    one, zero = F.col("upto") <= F.col("k"), F.col("before") >= F.col("k")
+    sure = slots.groupBy("draw", "block").agg(*sums(one, zero), F.sum("n").alias("n"))
+    border = slots.where(~one & ~zero).groupBy("block").agg(F.collect_list(F.struct("draw", "slot", (F.col("k") - F.col("before")).alias("rest"))).alias("border"))  # at most a slot a draw
+    border = border.withColumnRenamed("block", "_block")
+    split = rows.join(border, F.col("block").eqNullSafe(F.col("_block"))).select("unit", "block", "y", F.explode("border").alias("b")).select("unit", "block", "y", "b.draw", "b.slot", "b.rest").where(slot == F.col("slot"))
+    split = split.withColumn("first", F.row_number().over(whole.orderBy(key, "unit")) <= F.col("rest")).groupBy("draw", "block", "first").agg(F.sum("y").alias("s"), F.count("y").alias("c"))
+    split = split.groupBy("draw", "block").agg(*sums(F.col("first"), ~F.col("first")), F.lit(0).cast("long").alias("n"))
+    observed = rows.groupBy(F.lit(0).alias("draw"), "block", "a").agg(*value).groupBy("draw", "block").agg(*sums(F.col("a") == 1, F.col("a") == 0), F.sum("n").alias("n"))  # draw 0
+    cells = sure.unionByName(split).unionByName(observed).groupBy("draw", "block").agg(*(F.sum(c).alias(c) for c in ("s1", "c1", "s0", "c0", "n")))
+    cells = cells.select("draw", F.try_divide("s1", "c1").alias("m1"), F.try_divide("s0", "c0").alias("m0"), "n").where("m1 is not null and m0 is not null")
     ate = cells.groupBy("draw").agg((F.sum((F.col("m1") - F.col("m0")) * F.col("n")) / F.sum("n")).alias("t"))
     seen = F.max(F.when(F.col("draw") == 0, F.col("t"))).over(Window.partitionBy())
     w = ate.withColumn("seen", seen).where("draw > 0")
