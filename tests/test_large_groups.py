@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from trailmark.operators import statistics
+from trailmark.operators import audits, statistics
 
 
 def at_windows(df):
@@ -73,3 +73,34 @@ def test_a_large_block_is_not_put_in_order(spark):
     df = spark.range(20_000).selectExpr("id AS unit", "'b' AS block", "cast(id % 3 = 0 AS int) AS a", "cast(id AS double) AS y")
     found = at_windows(statistics.block_permutation(df, "block", 20))
     assert found and max(found) < 20_000
+
+
+def sampled(data, quota, size):
+    """(unit, cell, axis, taken) by three passes over the sorted rows."""
+    left = sorted(data, key=lambda r: (hashlib.sha256(str(r[0]).encode()).hexdigest(), r[0]))
+    out, cells, axes = [], set(), {}
+    for r in left:
+        if r[1] not in cells:
+            cells.add(r[1])
+            out.append((*r, 1))
+    for r in out:
+        left.remove(r[:3])
+    for r in left:
+        axes[r[2]] = axes.get(r[2], 0) + 1
+        out.append((*r, 2 if axes[r[2]] <= quota else 3))
+    return sorted(out, key=lambda r: (r[3], hashlib.sha256(str(r[0]).encode()).hexdigest(), r[0]))[:size]
+
+
+@pytest.mark.parametrize("quota, size, cells", [(3, 20, 4), (0, 7, 30), (5, 12, 3), (50, 400, 5), (2, 0, 3)])
+def test_audit_sample_equals_three_passes(spark, quota, size, cells):
+    rng = random.Random(2)
+    data = [(i, f"c{rng.randrange(cells)}" if i % 9 else None, f"a{rng.randrange(3)}" if i % 7 else None) for i in range(200)]
+    data += [r for r in data[:60] for _ in range(3)]  # equal rows count each
+    got = audits.audit_sample(spark.createDataFrame(data, "u long, c string, x string"), "u", "c", "x", quota, size).collect()
+    assert [tuple(r) for r in got] == sampled(data, quota, size)
+
+
+def test_a_large_cell_is_cut_before_its_rows_meet(spark):
+    df = spark.range(20_000).selectExpr("id AS u", "'c' AS c", "cast(id % 2 AS string) AS x")
+    found = at_windows(audits.audit_sample(df, "u", "c", "x", 5, 30))
+    assert found and max(found) < 2_000

@@ -59,13 +59,24 @@ def split_audit(split: DataFrame, held_out: str) -> DataFrame:
 
 def audit_sample(units: DataFrame, unit: str, cell: str, axis: str, quota: int, size: int) -> DataFrame:
     """Three passes of hash order: one unit of each cell, then up to ``quota`` more of each
-    axis, then whatever comes next, ``size`` at most; the pass that took a unit is kept."""
-    order = (_hash(unit), F.col(unit))
+    axis, then whatever comes next, ``size`` at most; the pass that took a unit is kept.
+
+    All passes run over the few rows that they can take: the first of each cell (of these the
+    first ``size``, more can't be in the sample), ``quota + size`` of each axis and
+    ``2 * size`` of all, as at most ``size`` of them are taken by an earlier pass.  Each task
+    cuts its rows to that before they meet (up to ``quota + size`` of 1,000, where Spark's
+    spark.sql.optimizer.windowGroupLimitThreshold ends)."""
+    columns = (unit, cell, axis)
+    order = (_hash(unit), *(F.col(c) for c in columns))
+    least = lambda group, k: units.select(*columns, F.row_number().over(Window.partitionBy(group).orderBy(*order)).alias("_place")).where(F.col("_place") <= k).select(*columns)
+    some = (least(cell, 1).orderBy(*order).limit(size), least(axis, quota + size), units.select(*columns).orderBy(*order).limit(2 * size))
+    counted = reduce(DataFrame.unionByName, (d.groupBy(*columns).agg(F.count(F.lit(1)).alias("_n")) for d in some)).groupBy(*columns).agg(F.max("_n").alias("_n"))
+    few = counted.select(*columns, F.explode(F.sequence(F.lit(1), F.col("_n"))).alias("_place")).drop("_place")  # equal rows as often as they are there
     in_cell = F.row_number().over(Window.partitionBy(cell).orderBy(*order))
-    first = units.withColumn("taken", F.when(in_cell == 1, 1))
+    first = few.withColumn("taken", F.when(in_cell == 1, 1))
     in_axis = F.row_number().over(Window.partitionBy(axis, F.col("taken").isNull()).orderBy(*order))
     second = first.withColumn("taken", F.coalesce("taken", F.when(in_axis <= quota, 2), F.lit(3)))
-    return second.orderBy("taken", *order).limit(size).select(unit, cell, axis, "taken")
+    return second.orderBy("taken", *order).limit(size).select(*columns, "taken")
 
 
 def pools(units: DataFrame, unit: str, size: int) -> DataFrame:
